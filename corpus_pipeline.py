@@ -1,20 +1,64 @@
-"""The corpus pipeline: classifier, line dedup, near-dedup, decontamination, mixing."""
+"""The corpus pipeline: classifier, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept, and returns the columns of documents; the last returns its contract's.
+Stages that change texts bring n_chars up to date. Nulls, empty texts, repeated
+rows and empty tables are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provspark.llm import classifier, decontamination, line_dedup, mixing, near_dup
+from provspark.llm.common import materialize, table
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else docs
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier accepts."""
+    return classifier.keep_accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of lines that occur earlier; documents of which nothing is left go."""
+    return _with_length(line_dedup.drop_repeated_lines(docs))
 
-STAGES: list = []
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated, without long benchmark passages."""
+    return _with_length(decontamination.remove_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", dedup_lines),
+    ("near dedup", dedup_near),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+]
 #: Learned and iterative stages have no SQL form; tests compare the run with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in order, each on all that its predecessor kept."""
-    from provspark.llm.common import materialize
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, "pipeline")
