@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from provspark.session import get_spark
 
-    s = get_spark("tests", 4)
+    s = get_spark("tests", int(__import__("os").environ.get("TEST_CPUS", "4")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
