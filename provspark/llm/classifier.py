@@ -151,7 +151,8 @@ def estimate(patterns: dict[int, int], n: int, rounds: int = 200) -> tuple[dict[
     """Posterior of rejection for each vote pattern, and P(vote | class) as [class, labeller, vote].
 
     Dawid-Skene with two classes and three votes; starts from the share of
-    rejecting votes among those cast.
+    rejecting votes among those cast. A text that no labeller rejects is never
+    taken as rejected, so silence alone cannot form the second class.
     """
     codes = sorted(patterns)
     if not codes:
@@ -170,6 +171,7 @@ def estimate(patterns: dict[int, int], n: int, rounds: int = 200) -> tuple[dict[
         prior = (side.sum(axis=1) + 1) / (weight.sum() + 2)
         score = np.log(prior)[:, None] + np.log(given[:, np.arange(n)[:, None], votes.T]).sum(axis=1)
         post = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
+        post = np.where((votes == REJECT).any(axis=1), post, np.minimum(post, 0.2))
         if np.abs(post - before).max() < 1e-9:
             break
     return dict(zip(codes, post.tolist(), strict=True)), given
@@ -229,8 +231,12 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400) -> Scorer:
-    """Logistic regression on the bins whose frequencies differ clearly between the classes."""
+def train(rows: list[np.ndarray], target: np.ndarray, prior: float = 0.5, rounds: int = 400) -> Scorer:
+    """Logistic regression on the bins whose frequencies differ clearly between the classes.
+
+    Both classes weigh the same in training; the bias is then moved to the
+    corpus' share of rejected texts (prior), by no more than a factor of 8.
+    """
     hard = target > 0.5
     if not rows or not hard.any():
         return Scorer(np.zeros(BINS, np.float32), -20.0)
@@ -258,7 +264,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400) -> Scor
         w, bias = w - step[:-1], bias - step[-1]
     full = np.zeros(BINS, np.float32)
     full[chosen] = w
-    return Scorer(full, float(bias))
+    return Scorer(full, float(bias + np.clip(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), -np.log(8), 0)))
 
 
 def _terms(toxic: dict):
@@ -347,6 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
     for name, n in (("form", N_FORM), ("abuse", N_ABUSE)):
         counts = {r[name]: r["count"] for r in votes.groupBy(name).count().collect()}
         post, given[name] = estimate(counts, n)
+        prior = sum(n * (post[c] > 0.5) for c, n in counts.items()) / max(sum(counts.values()), 1)
         sides = [[c for c in counts if (post[c] > 0.5) == side] for side in (False, True)]
         chosen: dict = {}
         for codes in sides:
@@ -363,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
         order = np.argsort(np.array(got.column("doc_id").to_pylist()))  # so that reruns agree
         bins = got.column("bins").to_pylist()
         ids = got.column("doc_id").to_pylist()
-        scorers[name] = train([np.frombuffer(bins[i], np.float32).reshape(-1, 2) for i in order], np.array([chosen[ids[i]] for i in order]))
+        scorers[name] = train([np.frombuffer(bins[i], np.float32).reshape(-1, 2) for i in order], np.array([chosen[ids[i]] for i in order]), prior)
     return Model(scorers["form"], scorers["abuse"], given["form"], given["abuse"])
 
 
