@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions.origin import origin, registry_crate_dir
+from provspark.functions.symbols import crate_idents, looks_like_ident
 from provspark.operators.anchors import detect_roots, fallback_ranges, first_slot_wins, location_hits, rebuild_locations
+from provspark.operators.joins import asof_containing
+from provspark.operators.type_names import load_constant_pairs, runs, type_names
 from provspark.sources import dwarf, elf, x86
 
 SCHEMAS = {
@@ -27,11 +30,14 @@ SCHEMAS = {
     "dies": "binary_id string, cu int, off long, low_pc long, decl_file string, ao long",
     "slots": "binary_id string, reloc_idx int, offset long, addend long, stored_len long, line long, col long, content binary",
     "text": "binary_id string, fn_start long, fn_end long, code binary",
+    "rodata": "binary_id string, page long, lo long, data binary",
     "errors": "binary_id string, error string",
 }
 #: Longest string that a relocated slot may name.
 MAX_STRING = 512
 CHUNK = 1 << 16
+#: .rodata is dealt out in pages of this size, each with a margin of the next.
+PAGE_BITS, MARGIN = 12, 160
 
 
 def _slots(e: elf.Elf) -> Iterator[tuple]:
@@ -63,6 +69,14 @@ def _rows(kind: str, e: elf.Elf) -> Iterator[tuple]:
         yield from dwarf.subprograms(e)
     elif kind == "slots":
         yield from _slots(e)
+    elif kind == "rodata":
+        s = e.section(".rodata")
+        for page in range(s.vaddr >> PAGE_BITS, ((s.vaddr + len(s.data) - 1) >> PAGE_BITS) + 1) if s and s.data else ():
+            lo = max(page << PAGE_BITS, s.vaddr)
+            at = lo - s.vaddr
+            end = ((page + 1) << PAGE_BITS) - s.vaddr + MARGIN
+            # one byte before, for boundaries, and enough behind to finish what begins on the page
+            yield page, lo, (s.data[at - 1 : at] or b"\0") + s.data[at:end] + (b"\0" if end >= len(s.data) else b"")
     elif kind == "text":
         s = e.section(".text")
         if s:
@@ -252,3 +266,41 @@ def analyse(binaries: DataFrame, min_anchors: int = 2, infer_depth: int | None =
     attributed = attribute(fns, marks.where("is_certain"), calls, marks.where("is_boundary"), infer_depth, by)
     tiers = tier_functions(fns, hits, locs, min_anchors, by=by)
     return {"functions": fns, "locations": locs, "hits": hits, "calls": calls, "attributed": attributed, "tiers": tiers}
+
+
+def slot_idents(binaries: DataFrame) -> DataFrame:
+    """(binary_id, target, ident): identifiers that relocated slots name, by slot; the last relocation of a slot counts."""
+    text = table(binaries, "slots").where("content IS NOT NULL AND stored_len < 128")
+    text = text.groupBy("binary_id", F.col("offset").alias("target")).agg(F.max_by("content", "reloc_idx").alias("c"))
+    ident = F.decode("c", "ISO-8859-1")
+    return text.select("binary_id", "target", ident.alias("ident")).where(looks_like_ident(F.col("ident")) & ~F.col("ident").endswith(".rs"))
+
+
+def loaded_idents(pairs: DataFrame, binaries: DataFrame) -> DataFrame:
+    """(binary_id, fn_start, ident): pairs (binary_id, fn_start, target, imm) whose imm bytes at target are one whole identifier."""
+    pages = table(binaries, "rodata")
+    near = pairs.select("binary_id", "fn_start", "target", "imm").distinct().withColumn("page", F.shiftright("target", PAGE_BITS)).join(pages, ["binary_id", "page"])
+    # the byte before, the bytes, and the byte behind
+    at = (F.col("target") - F.col("lo") + 1).cast("int")
+    around = F.decode(F.col("data").substr(at, (F.col("imm") + 2).cast("int")), "ISO-8859-1")
+    whole = around.rlike("(?s)^[^A-Za-z0-9_][A-Za-z0-9_]{2,}[^A-Za-z0-9_]$") & (F.length(around) == F.col("imm") + 2)
+    found = near.where(F.col("target") >= F.col("lo")).select("binary_id", "fn_start", around.alias("a"), whole.alias("w")).where("w")
+    ident = F.expr("substring(a, 2, length(a) - 2)")
+    return found.select("binary_id", "fn_start", ident.alias("ident")).where(F.col("ident").rlike("[A-Za-z]") & ~F.col("ident").rlike("^[A-Z_]+$")).distinct()
+
+
+def swept_crates(binaries: DataFrame) -> DataFrame:
+    """Distinct (binary_id, crate): identifiers in .rodata that ``::`` follows."""
+    text = F.decode("data", "ISO-8859-1")
+    return table(binaries, "rodata").select("binary_id", F.explode(crate_idents(text)).alias("crate")).distinct()
+
+
+def recover_types(binaries: DataFrame, code: DataFrame, fns: DataFrame, attributed: DataFrame) -> DataFrame:
+    """(binary_id, struct_name, fields, tier, fn_start) from identifiers that functions load; code is flat_instructions()."""
+    by = ["binary_id"]
+    inside = runs(code.where("op IN ('lea', 'mov')").select("binary_id", "ip", "op", "imm", "target"), fns, by)
+    pairs = load_constant_pairs(inside, by)
+    slots = code.where("op IN ('lea', 'ref')").select("binary_id", "ip", "target").join(slot_idents(binaries), ["binary_id", "target"])
+    named = asof_containing(slots.select("binary_id", "ip", "ident"), fns.select("binary_id", "fn_start", "fn_end"), "ip", "fn_start", "fn_end", by)
+    idents = loaded_idents(pairs, binaries).union(named.select("binary_id", "fn_start", "ident")).distinct()
+    return type_names(idents, attributed, by)

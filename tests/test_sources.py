@@ -10,6 +10,7 @@ from pathlib import Path
 import pytest
 
 from provspark.sources import dwarf, elf, tables, text, x86
+from provspark.sources.demangle import demangle
 from provspark.sources.sinks import contract_json, markdown
 
 SITE = Path(sysconfig.get_paths()["purelib"])
@@ -187,7 +188,39 @@ def test_landing_stream(spark, tmp_path):
 
 
 def test_demangle():
-    assert elf.demangle("_ZN4core3fmt9Formatter3new17h0123456789abcdefE") == "core::fmt::Formatter::new"
+    assert demangle("_ZN4core3fmt9Formatter3new17h0123456789abcdefE") == "core::fmt::Formatter::new"
     part = "_$LT$app..T$u20$as$u20$core..fmt..Debug$GT$"
-    assert elf.demangle(f"_ZN{len(part)}{part}3fmt17h0123456789abcdefE") == "<app::T as core::fmt::Debug>::fmt"
-    assert elf.demangle("main") == "main"
+    assert demangle(f"_ZN{len(part)}{part}3fmt17h0123456789abcdefE") == "<app::T as core::fmt::Debug>::fmt"
+    assert demangle("main") == "main"
+    assert demangle("_RNvC6_123foo3bar") == "123foo::bar"
+    assert demangle("_Rx") == "_Rx"
+
+
+@needs
+@pytest.mark.parametrize("path", [SMALL, MEDIUM])
+def test_demangle_against_nm(path):
+    """Names agree but for the printing of hashes, generics and constants."""
+    plain = dict(re.findall(r"^([0-9a-f]{16} \S) (_R\S+)$", run("nm", path), re.M))
+    shown = dict(re.findall(r"^([0-9a-f]{16} \S) (.+)$", run("nm", "-C", path), re.M))
+    same = [re.sub(r"\[[0-9a-f]+\]", "", shown[k]) == demangle(v) for k, v in plain.items() if shown.get(k) != v]
+    assert not same or sum(same) > 0.9 * len(same)
+
+
+def test_recovered_types(spark, tmp_path):
+    names = b"Config::xx\0Settings\0field_one\0ABC\0rt::core::"
+    ro = 0x2000
+    at = {n: ro + names.index(n) for n in (b"Settings", b"field_one", b"ABC")}
+    code, ip = b"", 0x1000
+    for n in (b"Settings", b"field_one", b"ABC"):
+        code += b"\x48\x8d\x05" + struct.pack("<i", at[n] - (ip + len(code) + 7))
+    for n in (8, 9, 3, 5):
+        code += b"\xb8" + struct.pack("<I", n)
+    slot = struct.pack("<QQ", 0, 6)
+    code += b"\x48\x8b\x05" + struct.pack("<i", 0x3000 - (ip + len(code) + 7)) + b"\xc3"
+    (tmp_path / "t").write_bytes(image({".text": (ip, code), ".rodata": (ro, names), ".data.rel.ro": (0x3000, slot + b"\0" * 8), ".rela.dyn": (0x3800, rela((0x3000, 8, ro)))}))
+    files = tables.files(spark, str(tmp_path))
+    fns = spark.createDataFrame([(r["path"], ip, ip + len(code)) for r in files.select("path").collect()], "binary_id string, fn_start long, fn_end long")
+    known = fns.selectExpr("binary_id", "fn_start", "'certain' AS attribution")
+    got = tables.recover_types(files, tables.flat_instructions(files), fns, known).collect()
+    assert [(r["struct_name"], r["fields"], r["tier"]) for r in got] == [("Config", ["field_one"], "user")]
+    assert {r["crate"] for r in tables.swept_crates(files).collect()} == {"rt", "core"}
