@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,8 +30,8 @@ def get_spark(app: str = "provspark", cpus: int | None = None) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is spark.checkpoint.dir. Where that is unset, a temporary folder is
-    used on a local master only; on a cluster this is an error, as executors
+    It is spark.checkpoint.dir. Where that is unset, a temporary folder that
+    goes when the process ends is used on a local master only; on a cluster this is an error, as executors
     would each write to a disk of their own.
     """
     conf = spark.sparkContext.getConf()
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "provspark-checkpoints")
+        folder = tempfile.mkdtemp(prefix="provspark-")
+        atexit.register(shutil.rmtree, folder, True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
