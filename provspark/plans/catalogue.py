@@ -821,6 +821,26 @@ def _(fx):
     return x.withColumn("tp_over_predicted", truth.ratio(c("tp"), c("predicted")))
 
 
+MARGINAL = " UNION ALL ".join(
+    f"""SELECT CAST({d} AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS marginal, CAST(count(*) FILTER (WHERE kind = 'user') AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE kind IS NOT NULL AND kind <> 'user') AS BIGINT) AS fp,
+    CAST(count(*) FILTER (WHERE kind IS NULL) AS BIGINT) AS unknown FROM (SELECT node, min(depth) AS depth FROM back GROUP BY node) LEFT JOIN fx_truth ON fn_start = node
+    WHERE depth BETWEEN 1 AND {d} AND node NOT IN (SELECT fn_start FROM attributed WHERE attribution IN ('certain', 'inferred'))"""
+    for d in (1, 2)
+)
+
+
+@query("backtrace_sweep", f"{attribution_sql(1)}, {BACKTRACE(2, False)}, x AS ({MARGINAL}) SELECT *, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision FROM x")
+def _(fx):
+    known = attributed(fx, 1).where("attribution IN ('certain', 'inferred')")
+    new = traced(fx, 2).join(known, "fn_start", "left_anti")
+    rows = new.select("fn_start", F.explode(F.sequence(c("depth").cast("int"), F.lit(2))).alias("depth"))
+    label = c("label")
+    x = truth.labelled(rows, fx("fx_truth")).groupBy("depth").agg(
+        F.count("*").alias("marginal"), *[F.count_if(label == k).alias(n) for k, n in (("TP", "tp"), ("FP", "fp"), ("UNK", "unknown"))]
+    )
+    return x.withColumn("precision", truth.ratio(c("tp"), c("tp") + c("fp")))
+
+
 # ---- debug info, symbol tables and dumps --------------------------------------------------------------------------
 
 

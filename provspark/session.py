@@ -30,9 +30,9 @@ def get_spark(app: str = "provspark", cpus: int | None = None) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is spark.checkpoint.dir. Where that is unset, a temporary folder that
-    goes when the process ends is used on a local master only; on a cluster this is an error, as executors
-    would each write to a disk of their own.
+    It is spark.checkpoint.dir. Where that is unset, a local master uses a
+    temporary folder that goes when the process ends; on a cluster this is an
+    error, as executors would each write to a disk of their own.
     """
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)

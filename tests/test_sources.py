@@ -9,7 +9,7 @@ from pathlib import Path
 
 import pytest
 
-from provspark.sources import dwarf, elf, tables, text, x86
+from provspark.sources import dwarf, elf, reports, tables, text, x86
 from provspark.sources.demangle import demangle
 from provspark.sources.sinks import contract_json, markdown
 
@@ -140,6 +140,11 @@ def test_standard_run(spark, tmp_path):
     assert [name(r) for r in tables.table(files, "errors").collect()] == ["bad.bin"]
     docs = contract_json(tables.table(files, "binaries").withColumnRenamed("warnings", "w").selectExpr("binary_id", "binary_id AS path", "arch"), got["tiers"]).collect()
     assert '"start":"0x1000"' in next(r["json"] for r in docs if name(r) == "a.bin")
+    one = {k: v.where("binary_id LIKE '%a.bin'") for k, v in got.items()}
+    assert "src/main.rs: 12:5" in reports.sites_report(one["locations"])
+    assert "0x1000 (64 bytes, 1 anchors): src/main.rs" in reports.functions_report(one["attributed"], one["tiers"])
+    known = one["functions"].selectExpr("binary_id", "fn_start", "'user' AS kind")
+    assert "captured 2 (100.0%)" in reports.validation_report(one["attributed"], known)
     assert markdown(got["calls"].select("caller", "callee").distinct()).count("\n") == 2
 
 
