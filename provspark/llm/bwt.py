@@ -14,26 +14,41 @@ from __future__ import annotations
 import numpy as np
 
 
+def sorted_places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys) of keys below 2**bits; plain sorting of key and place in one word is far faster than argsort."""
+    place = max(len(key) - 1, 1).bit_length()
+    if bits + place > 64:
+        order = np.argsort(key)
+        return order, key[order]
+    both = (key << np.uint64(place)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << place) - 1)).astype(np.int64), both >> np.uint64(place)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of at least their first `depth` symbols (doubling from 8)."""
+    """Suffixes in order of at least their first `depth` symbols, by doubling what is compared."""
     n = len(text)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)])
+    found = np.flatnonzero(np.bincount(text, minlength=256))
+    code = np.zeros(256, np.uint64)
+    code[found] = np.arange(1, len(found) + 1)
+    width = len(found).bit_length()
+    reach = max((64 - max(n - 1, 1).bit_length()) // width, 1)
+    wide = np.concatenate([code[text], np.zeros(reach, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wide[j : j + n]
-    reach = 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        if reach >= depth:
-            return order
-        run = key[order]
+    for j in range(reach):
+        key = (key << np.uint64(width)) | wide[j : j + n]
+    order, run = sorted_places(key, width * reach)
+    rank_bits = max(n, 1).bit_length()
+    while reach < depth:
+        new = run[1:] != run[:-1]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[1], run[1:] != run[:-1]])).astype(np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[1], new])).astype(np.uint64)
         ahead = np.zeros(n, np.uint64)
         if reach < n:
             ahead[:-reach] = rank[reach:]
-        key = (rank << np.uint64(32)) | ahead
+        order, run = sorted_places((rank << np.uint64(rank_bits)) | ahead, 2 * rank_bits)
         reach *= 2
+    return order
 
 
 def boundaries(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
@@ -45,6 +60,11 @@ def boundaries(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     n = len(text)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
+    # of each row: where its suffix goes when the symbol before it is put in front, and that symbol
+    before = order - 1
+    goes = np.where(before >= 0, place[before], 0)
+    put = np.where(before >= 0, text[before], 0)
+    first = text[order]
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
     low, high = np.array([0]), np.array([n - 1])
@@ -53,24 +73,21 @@ def boundaries(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
         total = int(size.sum())
         if not total:
             break
-        owner = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        at = order[rows] - 1
-        stay = at >= 0
-        if depth > 1:
-            stay &= text[at] != 0
-        at, owner = at[stay], owner[stay]
-        if not len(at):
+        owner = np.repeat(np.arange(len(low), dtype=np.uint64), size)
+        rows = np.arange(total) + np.repeat(low - (np.cumsum(size) - size), size)
+        stay = put[rows] != 0 if depth > 1 else before[rows] >= 0
+        both = (goes[rows[stay]].astype(np.uint64) << np.uint64(32)) | owner[stay]
+        if not len(both):
             break
-        to = place[at]
-        by = np.argsort(to)
-        to, owner, symbol = to[by], owner[by], text[at[by]]
+        both.sort()
+        to, owner = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
+        symbol = first[to]
         last = np.concatenate([(owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]), [True]])
         high = to[last]
         low = to[np.concatenate([[True], last[:-1]])]
         new = ~found[high + 1]
-        found[high[new] + 1] = True
         low, high = low[new], high[new]
+        found[high + 1] = True
     return found[:n]
 
 
