@@ -399,6 +399,7 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = F
     n_blocks = int(min(max(total // BLOCK_BYTES, 16), 1 << 15))
     # whole copies
     first = sizes.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("sha", "first"), "substr")  # as a table, so that a join with one hot digest can be split
     copies = sizes.join(first, "sha").where("doc_id > first").select("doc_id", "tag", F.lit(True).alias("copy")).distinct()
     copies = materialize(copies, "substr")
 
