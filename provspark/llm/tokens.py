@@ -162,4 +162,5 @@ def count_tokens(
     new.select("digest", F.lit(digest).alias("model"), "n_tokens").write.mode("append").parquet(cache)
     # repeated rows with one id and text may be stored twice: one count is kept
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("model") == F.lit(digest)).select("digest", "n_tokens").dropDuplicates(["digest"])
+    stored = materialize(stored, "tokens")  # as a table, so that a join with one hot digest can be split
     return keyed.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
