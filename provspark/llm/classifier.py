@@ -30,7 +30,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
+from math import exp
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +67,10 @@ class Lexicons:
 
 @dataclass
 class Measured:
-    """What labellers and features need of one text."""
+    """What labellers and features need of one text; tokens are lower-cased and may carry punctuation."""
 
     n: int
-    words: list[str]
+    tokens: list[str]
     symbols: float = 0.0
     upper: float = 0.0
     distinct: float = 1.0
@@ -75,7 +79,6 @@ class Measured:
     function: float = 0.0
     repeated_lines: float = 0.0
     marked: float = 0.0
-    unique: set[str] = field(default_factory=set)
 
 
 def measure(text: str | None) -> Measured:
@@ -83,27 +86,51 @@ def measure(text: str | None) -> Measured:
     n = len(tokens)
     if not n:
         return Measured(0, [])
-    words = WORD.findall(text.lower())
-    unique = set(words)
-    symbols = sum(map(text.count, "#*$%&|<>!{}[]=~^\\"))
+    low = text.lower().split()
+    size = sum(map(len, tokens))
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
-    shown = Counter(tokens)
-    letters = sum(map(len, words)) or 1
     return Measured(
         n,
-        words,
-        symbols / n,
-        sum(map(len, filter(str.isupper, tokens))) / letters,
-        len(shown) / n,
-        sum(map(str.__eq__, tokens, tokens[1:])) / n,
-        letters / max(len(words), 1),
-        sum(k for w, k in shown.items() if w.lower() in FUNCTION_WORDS) / n,
+        low,
+        sum(map(text.count, "#*$%&|<>!{}[]=~^\\")) / n,
+        sum(map(len, filter(str.isupper, tokens))) / size,
+        len(set(tokens)) / n,
+        sum(map(eq, tokens, islice(tokens, 1, None))) / n,
+        size / n,
+        sum(map(FUNCTION_WORDS.__contains__, low)) / n,
         1 - len(set(lines)) / max(len(lines), 1),
-        shown["|"] / n,
-        unique,
+        tokens.count("|") / n,
     )
 
 
+def words_in(tokens) -> set[str]:
+    return {w for t in set(tokens) for w in WORD.findall(t)}
+
+
+class TokenHits(dict):
+    """Of a token: its insults, learned words and learned starts, in one number; bounded."""
+
+    def __init__(self, lex: Lexicons) -> None:
+        super().__init__()
+        self.lex = lex
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        out = 0
+        for w in [token] if token.isalpha() else WORD.findall(token):
+            out += (w in INSULTS) + ((w in self.lex.words) << 20)
+            for k in STARTS:
+                if len(w) > k and w[:k] in self.lex.starts:
+                    out += 1 << 40
+        self[token] = out
+        return out
+
+    def of(self, tokens: list[str]) -> tuple[int, int, int]:
+        total = sum(map(self.__getitem__, tokens))
+        return total & 0xFFFFF, total >> 20 & 0xFFFFF, total >> 40
+
+
 def form_votes(m: Measured) -> list[int]:
     """Seven labellers that reject or abstain, and one that accepts what is ordinary in every measure."""
     if m.n < 3:
@@ -122,14 +149,11 @@ def form_votes(m: Measured) -> list[int]:
     return [REJECT if x else ABSTAIN for x in rejects] + [ACCEPT if ordinary else ABSTAIN]
 
 
-def abuse_votes(m: Measured, lex: Lexicons) -> list[int]:
+def abuse_votes(m: Measured, lists: TokenHits) -> list[int]:
     """Three labellers that reject, by their share of words, or abstain, and one that accepts what is free of them."""
     if not m.n:
         return [ABSTAIN] * N_ABUSE
-    insults = sum(w in INSULTS for w in m.words)
-    learned = sum(w in lex.words for w in m.words)
-    begun = sum(w[:k] in lex.starts for w in m.words for k in STARTS if len(w) > k) if lex.starts else 0
-    hits = (insults, learned, begun)
+    hits = lists.of(m.tokens)
     return [REJECT if x >= 2 and 125 * x >= m.n else ABSTAIN for x in hits] + [ACCEPT if 250 * max(hits) < m.n else ABSTAIN]
 
 
@@ -181,27 +205,17 @@ def bin_of(name: str) -> int:
     return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) & (BINS - 1)
 
 
-class WordBins(dict):
-    """The bins of a word and of its starts; bounded."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        found = (bin_of("w:" + word), *(bin_of("s:" + word[:k]) for k in STARTS if len(word) > k))
-        self[word] = found
-        return found
-
-
-_bins = WordBins()
+def bins_of(token: str) -> list[int]:
+    """The bins of a token's words and of their starts."""
+    out = []
+    for w in [token] if token.isalpha() else WORD.findall(token):
+        out.append(bin_of("w:" + w))
+        out += [bin_of("s:" + w[:k]) for k in STARTS if len(w) > k]
+    return out
 
 
-def features(m: Measured) -> np.ndarray:
-    """(bin, value) rows: words and starts by their number in 100 words, bucketed measures as 1."""
-    found: dict[int, float] = {}
-    each = 100 / max(len(m.words), 1)
-    for w, k in Counter(m.words).items():
-        for b in _bins[w]:
-            found[b] = found.get(b, 0.0) + k * each
+def measure_bins(m: Measured) -> list[int]:
+    """The bins of a text's bucketed measures."""
     grades = {
         "symbols": (m.symbols, (0.02, 0.1, 0.3, 0.5, 1.0)),
         "upper": (m.upper, (0.1, 0.2, 0.35, 0.5, 0.8)),
@@ -213,11 +227,25 @@ def features(m: Measured) -> np.ndarray:
         "length": (m.mean_length, (3, 4, 6, 9, 14)),
     }
     size = sum(m.n >= x for x in (3, 8, 40))
-    for name, (value, cuts) in grades.items():
-        found[bin_of(f"{name}:{sum(value >= c for c in cuts)}:{size}")] = 1.0
+    return [_grade_bin(name, sum(value >= c for c in cuts), size) for name, (value, cuts) in grades.items()]
+
+
+@lru_cache(4096)
+def _grade_bin(name: str, grade: int, size: int) -> int:
+    return bin_of(f"{name}:{grade}:{size}")
+
+
+def features(m: Measured) -> np.ndarray:
+    """(bin, value) rows for training: words and starts by their number in 100 tokens, measures as 1."""
+    found: dict[int, float] = {}
+    each = 100 / max(m.n, 1)
+    for token, k in Counter(m.tokens).items():
+        for b in bins_of(token):
+            found[b] = found.get(b, 0.0) + k * each
+    found |= dict.fromkeys(measure_bins(m), 1.0)
     out = np.empty((len(found), 2), np.float32)
     out[:, 0] = list(found)
-    out[:, 1] = np.minimum(list(found.values()), 5.0)
+    out[:, 1] = np.minimum(list(found.values()), 20.0)  # keeps training steady; scores are plain sums
     return out
 
 
@@ -226,9 +254,30 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, rows: np.ndarray) -> float:
-        total = float(self.weights[rows[:, 0].astype(np.int64)] @ rows[:, 1]) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
+
+class TokenWeights(dict):
+    """The weights of a token in both scorers, as one complex number; bounded."""
+
+    def __init__(self, form: Scorer, abuse: Scorer) -> None:
+        super().__init__()
+        both = form.weights.astype(np.complex128) + 1j * abuse.weights
+        used = np.flatnonzero(both)
+        self.both = dict(zip(used.tolist(), both[used].tolist(), strict=True))
+        self.bias = complex(form.bias, abuse.bias)
+
+    def __missing__(self, token: str) -> complex:
+        if len(self) > 300_000:
+            self.clear()
+        of = self.both.get
+        self[token] = out = sum([of(b, 0j) for b in bins_of(token)], 0j)
+        return out
+
+    def score(self, m: Measured) -> tuple[float, float]:
+        """(form, abuse) scores of a text."""
+        total = self.bias + sum([self.both.get(b, 0j) for b in measure_bins(m)], 0j)
+        if m.n:
+            total += sum(map(self.__getitem__, m.tokens)) * 100 / m.n
+        return tuple(1 / (1 + exp(-max(min(x, 500.0), -500.0))) for x in (total.real, total.imag))
 
 
 def train(rows: list[np.ndarray], target: np.ndarray, prior: float = 0.5, rounds: int = 400) -> Scorer:
@@ -272,7 +321,7 @@ def _terms(toxic: dict):
         counts = {0: Counter(), 1: Counter()}
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                unique = measure(text).unique
+                unique = words_in((text or "").lower().split())
                 counts[toxic[i]].update({f"w:{w}" for w in unique} | {f"s:{w[:k]}" for w in unique for k in STARTS if len(w) > k})
         for side, found in counts.items():
             items = list(found.items())
@@ -320,10 +369,11 @@ def lexicons(docs: DataFrame, labels: DataFrame, per_class: int, max_terms: int)
 
 def _vote(lex: Lexicons):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = TokenHits(lex)
         for b in batches:
             rows = [measure(t) for t in b.column(1).to_pylist()]
             form = pa.array([code_of(form_votes(m)) for m in rows], pa.int32())
-            abuse = pa.array([code_of(abuse_votes(m, lex)) for m in rows], pa.int32())
+            abuse = pa.array([code_of(abuse_votes(m, lists)) for m in rows], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), form, abuse], ["doc_id", "form", "abuse"])
 
     return run
@@ -376,11 +426,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
 
 def _score(model, text_at: int, only_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        weights = TokenWeights(model.value.form, model.value.abuse)
         for b in batches:
-            rows = [features(measure(t)) for t in b.column(text_at).to_pylist()]
-            form = np.array([m.form.score(x) for x in rows])
-            abuse = np.array([m.abuse.score(x) for x in rows])
+            scores = [weights.score(measure(t)) for t in b.column(text_at).to_pylist()]
+            form, abuse = np.array([x[0] for x in scores]), np.array([x[1] for x in scores])
             accepted = pa.array((form <= 0.5) & (abuse <= 0.5), pa.bool_())
             if only_kept:
                 yield b.filter(accepted)
