@@ -289,18 +289,18 @@ def train(rows: list[np.ndarray], target: np.ndarray, prior: float = 0.5, rounds
     hard = target > 0.5
     if not rows or not hard.any():
         return Scorer(np.zeros(BINS, np.float32), -20.0)
-    flat = np.concatenate([r[:, 0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[:, 1] for r in rows]).astype(float)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     a, b = max(hard.sum(), 1), max((~hard).sum(), 1)
-    pos = np.bincount(flat[hard[owner]], minlength=BINS)
-    neg = np.bincount(flat[~hard[owner]], minlength=BINS)
+    pos, neg = np.zeros(BINS), np.zeros(BINS)
+    for r, bad in zip(rows, hard, strict=True):  # row by row: only chosen bins are ever held together
+        (pos if bad else neg)[r[:, 0].astype(np.int64)] += 1
     p, q = (pos + 0.5) / (a + 1), (neg + 0.5) / (b + 1)
     z = (p - q) / np.sqrt(p * (1 - p) / a + q * (1 - q) / b + 1e-12)
     chosen = (np.abs(z) > 4) & (pos + neg >= 5)
     number = np.cumsum(chosen) - 1
-    stay = chosen[flat]
-    cols, own, value, width = number[flat[stay]], owner[stay], value[stay], int(chosen.sum())
+    kept = [r[chosen[r[:, 0].astype(np.int64)]] for r in rows]
+    own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
+    both = np.concatenate(kept)
+    cols, value, width = number[both[:, 0].astype(np.int64)], both[:, 1], int(chosen.sum())
     w, bias = np.zeros(width), 0.0
     share = np.where(hard, 0.5 / a, 0.5 / b)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -413,14 +413,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
             part = votes.where(F.col("doc_id").isNotNull() & F.col(name).isin(codes) & (draw("doc_id", name) < 1.2 * per_side / total))
             rows = part.select("doc_id", name).orderBy(draw("doc_id", name), "doc_id").limit(per_side).collect()
             chosen |= {r["doc_id"]: post[r[name]] for r in rows}
-        got = pick(docs, list(chosen)).mapInArrow(_features, f"doc_id {kind}, bins binary").toArrow() if chosen else None
-        if got is None or not got.num_rows:
+        if not chosen:
             scorers[name] = train([], np.zeros(0))
             continue
-        order = np.argsort(np.array(got.column("doc_id").to_pylist()))  # so that reruns agree
-        bins = got.column("bins").to_pylist()
+        got = pick(docs, list(chosen)).mapInArrow(_features, f"doc_id {kind}, bins binary").toArrow()
         ids = got.column("doc_id").to_pylist()
-        scorers[name] = train([np.frombuffer(bins[i], np.float32).reshape(-1, 2) for i in order], np.array([chosen[ids[i]] for i in order]), prior)
+        order = sorted(range(len(ids)), key=ids.__getitem__)  # so that reruns agree
+        bins = got.column("bins")
+        rows = [np.frombuffer(bins[i].as_buffer(), np.float32).reshape(-1, 2) for i in order]
+        scorers[name] = train(rows, np.array([chosen[ids[i]] for i in order]), prior)
+        del got, bins, rows
     return Model(scorers["form"], scorers["abuse"], given["form"], given["abuse"])
 
 
