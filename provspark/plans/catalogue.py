@@ -332,7 +332,7 @@ def _(fx):
 
 
 def seeds_and_barrier(fx) -> tuple[DataFrame, DataFrame]:
-    h = hits(fx).where("struct_vaddr % 5 = 0")
+    h = hits(fx)
     return h.where("kind = 'user'").select("fn_start").distinct(), h.where("kind = 'dep'").select("fn_start").distinct()
 
 
