@@ -1,8 +1,8 @@
 """Operator 8: line dedup by winnowing over line hashes.
 
 A text's lines that hold more than white space, trimmed, form its sequence. A
-passage is `run` consecutive lines, or one line of at least `long_words`
-words. A line is deleted if it lies in a passage that also occurs at an
+passage is `run` consecutive lines, or fewer, down to one, that hold at least
+`long_words` words together. A line is deleted if it lies in a passage that also occurs at an
 earlier place: in a document with a smaller id, or earlier in the same one.
 
 Winnowing finds them: of every window of `run` line hashes the smallest (of
@@ -11,7 +11,8 @@ selected line. Selected lines are joined by hash; those that occur once end
 there. From a selected line that occurs again a match is extended both ways
 to the windows that had selected it, and windows are compared by a 128-bit
 digest with the first place of each, so a line that is everywhere costs one
-row for each place and never a pair of places. A long line is a window of one.
+row for each place and never a pair of places. Shorter windows that hold enough
+words are selected from and compared in the same way, each length for itself.
 
 Edge cases: a null text has no lines and stays null; blank lines are never
 deleted unless they stand between deleted ones; repeated rows with one id are
@@ -52,8 +53,10 @@ def windows_of(text: str | None, run: int, long_words: int) -> list[tuple[int, b
     lines = [x for x in (y.strip() for y in text.encode("utf-8", "surrogatepass").split(b"\n")) if x]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
     out = [(int(hashes[i]), xxhash.xxh128_digest(b"\n".join(lines[s : s + run])), s, run) for i, s in selected(hashes, run)]
-    if run > 1:
-        out += [(int(hashes[i]), xxhash.xxh128_digest(x), i, 1) for i, x in enumerate(lines) if len(x.split()) >= long_words]
+    words = np.cumsum([0, *(len(x.split()) for x in lines)])
+    for n in range(1, run):
+        long = [(i, s) for i, s in selected(hashes, n) if words[s + n] - words[s] >= long_words]
+        out += [(int(hashes[i]), xxhash.xxh128_digest(b"\n".join(lines[s : s + n])), s, n) for i, s in long]
     return out
 
 
@@ -123,7 +126,7 @@ def _strip(text_at: int, spans_at: int, schema: pa.Schema | None):
 def remove_repeated_lines(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated lines deleted, plus __n_removed (lines)."""
     found = repeated_passages(docs, run, long_words, id_col, text_col)
-    # one list for each document, no longer than twice its lines
+    # one list for each document, no longer than run times its lines
     spans = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("start", "lines")).alias("__spans")), "lines")
     on: Column = F.col(id_col).eqNullSafe(F.col("__id"))
     wide = docs.join(spans.hint("shuffle_hash"), on, "left").drop("__id")
