@@ -41,3 +41,14 @@ def test_attribution_plain(spark):
     want = {f: "certain" if f in seeds else "library" if f not in reached else "indeterminate" if f in disputed else "inferred" for f in functions}
     assert {r["fn_start"]: r["attribution"] for r in catalogue.QUERIES["attribution_unbounded"](spark, SF).collect()} == want
     assert column(spark, "backtrace_inf") == walk({(b, a) for a, b in calls}) - seeds
+
+
+def test_views_take_all_rows(spark):
+    def rows(table):
+        return spark.read.parquet(f"{SF}/{table}.parquet")
+
+    part, customer = rows("part").count(), rows("customer").count()
+    assert catalogue.QUERIES["ident_case_class"](spark, SF).count() == part
+    assert view(spark, SF, "fx_strings").select("vaddr").distinct().count() == customer
+    pairs = {(4096 + r["l_partkey"] * 256, 4096 + (r["l_suppkey"] * 20 + r["l_linenumber"] * 3 + r["l_orderkey"]) % part * 256) for r in rows("lineitem").collect()}
+    assert {(r["caller"], r["callee"]) for r in view(spark, SF, "fx_calls").collect()} == pairs
