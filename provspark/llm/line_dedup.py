@@ -4,6 +4,8 @@ A text's lines that hold more than white space, trimmed, form its sequence. A
 passage is `run` consecutive lines, or fewer, down to one, that hold at least
 `long_words` words together. A line is deleted if it lies in a passage that also occurs at an
 earlier place: in a document with a smaller id, or earlier in the same one.
+Texts that share an id, or have none, are documents of their own and ordered by
+a digest of the text.
 
 Winnowing finds them: of every window of `run` line hashes the smallest (of
 equal ones the last) is selected, so two places that share a passage share a
@@ -15,8 +17,8 @@ row for each place and never a pair of places. Shorter windows that hold enough
 words are selected from and compared in the same way, each length for itself.
 
 Edge cases: a null text has no lines and stays null; blank lines are never
-deleted unless they stand between deleted ones; repeated rows with one id are
-one place, so neither deletes the other; rows with a null id come last; an
+deleted unless they stand between deleted ones; repeated rows with one id and
+text are one place, so neither deletes the other; rows with a null id come last; an
 empty table gives an empty result; texts are never cut otherwise. Columns
 other than id and text are passed on by drop_repeated_lines.
 """
@@ -63,7 +65,7 @@ def windows_of(text: str | None, run: int, long_words: int) -> list[tuple[int, b
 def _windows(run: int, long_words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [windows_of(t, run, long_words) for t in b.column(1).to_pylist()]
+            found = [windows_of(t, run, long_words) for t in b.column(2).to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             rows = [r for x in found for r in x]
             line = np.fromiter((r[0] for r in rows), np.uint64, len(rows)).view(np.int64)
@@ -73,24 +75,25 @@ def _windows(run: int, long_words: int):
                 pa.array([r[2] for r in rows], pa.int32()),
                 pa.array([r[3] for r in rows], pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], ["doc_id", "line", "passage", "start", "lines"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cols], ["doc_id", "tag", "line", "passage", "start", "lines"])
 
     return go
 
 
 def repeated_passages(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, lines) of every passage that occurs at an earlier place."""
+    """(doc_id, tag, start, lines) of every passage that occurs at an earlier place."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(_windows(run, long_words), f"doc_id {kind}, line long, passage binary, start int, lines int")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(_windows(run, long_words), f"doc_id {kind}, tag long, line long, passage binary, start int, lines int")
     rows = materialize(rows, "lines")
     again = rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
     near = rows.join(again, "line", "left_semi")
     # the first place of each passage; nulls come last
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("start").alias("at"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"), F.col("start").alias("at"))
     first = near.groupBy("passage").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("passage", "first")
-    return near.join(first, "passage").where(place > F.col("first")).select("doc_id", "start", "lines")
+    return near.join(first, "passage").where(place > F.col("first")).select("doc_id", "tag", "start", "lines")
 
 
 def strip_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -127,9 +130,9 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN, long_words: int = LON
     """docs with repeated lines deleted, plus __n_removed (lines)."""
     found = repeated_passages(docs, run, long_words, id_col, text_col)
     # one list for each document, no longer than run times its lines
-    spans = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("start", "lines")).alias("__spans")), "lines")
-    on: Column = F.col(id_col).eqNullSafe(F.col("__id"))
-    wide = docs.join(spans.hint("shuffle_hash"), on, "left").drop("__id")
+    spans = materialize(found.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set(F.struct("start", "lines")).alias("__spans")), "lines")
+    on: Column = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tag"))
+    wide = docs.join(spans.hint("shuffle_hash"), on, "left").drop("__id", "__tag")
     text_at = docs.columns.index(text_col)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_removed long"
     return wide.mapInArrow(_strip(text_at, len(docs.columns), None), out)

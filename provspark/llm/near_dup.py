@@ -20,7 +20,8 @@ Edge cases: a text without words (null, empty, blank) has fingerprint zero and
 is linked like any other; with fewer than three words the whole sequence is
 the only shingle; repeated shingles count each; repeated rows share a class; a
 null id belongs to its fingerprint's class but is never its name unless all
-ids there are null; an empty table gives an empty result. Columns other than
+ids there are null; drop_near_duplicates keeps one row of each component, also
+where ids are null or shared by different texts; an empty table gives an empty result. Columns other than
 id and text are ignored by near_duplicates and passed on by drop_near_duplicates.
 """
 
@@ -65,8 +66,8 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        f = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.int64())], ["doc_id", "fp"])
+        f = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.int64())], ["doc_id", "tag", "fp"])
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +140,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send(spanning_links(np.concatenate(held)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, fingerprint, component_id)."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, fp) of each row, where tag is a digest of its text, and (fp, component, component_id) of each fingerprint."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    prints = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
-    prints = materialize(prints, "simhash")
+    prints = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    prints = materialize(prints.mapInArrow(_fingerprints, f"doc_id {kind}, tag long, fp long"), "simhash")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash")
     dealt = classes.select("fp").mapInArrow(_deal, "key long, fp long")
     found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
@@ -160,17 +161,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     of = materialize(of, "simhash")
     names = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = of.join(names, "component").select("fp", "component_id")
+    return prints, of.join(names, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (doc_id, fingerprint, component_id)."""
+    prints, of = _components(docs, id_col, text_col)
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(of, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each component only."""
-    found = materialize(near_duplicates(docs, id_col, text_col), "simhash")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    ids, rows = found.agg(F.count_distinct("doc_id"), F.count("doc_id")).first()
-    nulls = found.where("doc_id is null").count()
-    # rows that repeat an id are copies too; only then a second shuffle is needed
-    return out if ids == rows and nulls <= 1 else out.dropDuplicates([id_col])
+    """docs with one document of each component only: that of the smallest id, nulls last, and of those the smallest digest."""
+    prints, of = _components(docs, id_col, text_col)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "tag")
+    kept = prints.join(of, "fp").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.tag").alias("__tag"))
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tag"))
+    out = docs.join(kept.hint("shuffle_hash"), on, "left_semi")
+    places, rows = prints.agg(F.count_distinct(F.struct("doc_id", "tag")), F.count("*")).first()
+    # rows that repeat an id and its text are copies too; only then a second shuffle is needed
+    return out if places == rows else out.dropDuplicates([id_col, text_col])
