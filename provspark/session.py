@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,12 +49,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def stored(df: DataFrame, name: str = "step") -> tuple[str, DataFrame]:
+    """df written as Parquet to the shared folder: (its path, the table read back)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and gives the planner true sizes.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)[1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that operators store inside this scope are removed at its end, when the results have been written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            discard(spark, path)
