@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.session import materialize, shared_dir
+from provspark.session import discard, materialize, shared_dir, stored
 
-__all__ = ["materialize", "shared_dir", "small_batches", "table", "native_word_count", "connected_components"]
+__all__ = ["discard", "materialize", "shared_dir", "stored", "small_batches", "table", "native_word_count", "connected_components"]
+
+#: Edges for each task of a round of the component search.
+ROUND_ROWS = 200_000
 
 #: White space of the contracts: space and U+0009 to U+000D, which is what bytes.split() splits at.
 SPACE = " \t\n\x0b\x0c\r"
@@ -30,51 +33,34 @@ def native_word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(lead, r"[^ \x09-\x0D]++[ \x09-\x0D]*+", "w")).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected edge list (a long, b long) as (node, component).
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Components of an undirected edge list (a, b) as (node, component); nodes are of any type that has an order.
 
     component is the smallest node reachable. Alternates large-star and
     small-star steps (Kiveris et al., 2014); each step needs per-node minima
-    only, so no neighbour list is gathered, and each is written to the shared
-    folder. Only nodes with an edge are returned.
+    only, so no neighbour list is gathered. A round is written to the shared
+    folder and the one before it removed. The search ends when every node
+    points to one root and no root points on, which is tested on all edges.
+    Only nodes with an edge are returned.
     """
-    cur = materialize(
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct(),
-        "cc",
-    )
-
-    def summary(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").bitwiseAND(0xFFFFFFFF))).first())
-
-    last = summary(cur)
-    if not last[0]:
-        return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    for _ in range(max_rounds):
+    spark = edges.sparkSession
+    first = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    path, cur = stored(first, "cc")
+    # neither step adds edges, so this many partitions do for every round
+    parts = max(8, cur.count() // ROUND_ROWS)
+    while True:
+        ends = cur.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(cur.select("lo", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.where("up > 1 or (up > 0 and root > 0)").isEmpty():
+            return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
         # large star: every larger neighbour of u points to the smallest of u's neighbourhood
-        both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.join(least, "u")
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-            .where("hi <> lo")
-            .distinct()
-        )
+        both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select("lo", "hi"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # small star: u and its smaller neighbours point to the smallest of them
-        large = materialize(large, "cc")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(least, "hi")
-            .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .union(least.select("hi", F.col("m").alias("lo")))
-            .where("hi <> lo")
-            .distinct()
-        )
-        cur = materialize(small, "cc")
-        now = summary(cur)
-        if now == last:
-            return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-        last = now
-    raise RuntimeError("connected components did not settle; raise max_rounds")
+        small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+        small = small.union(least.select("hi", F.col("m").alias("lo"))).distinct()
+        before = path
+        path, cur = stored(small.coalesce(parts), "cc")
+        discard(spark, before)

@@ -327,7 +327,7 @@ def plain_components(prints, bits=2):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("bucket", [512, 1])
+@pytest.mark.parametrize("bucket", [8192, 5, 1])
 def test_simhash(docs, texts, nothing, monkeypatch, bucket):
     monkeypatch.setattr(near_dup, "BUCKET", bucket)
     got = near_dup.near_duplicates(docs).collect()
@@ -351,16 +351,10 @@ def test_simhash_links(spark):
                 x ^= 1 << rng.randrange(64)
             some.add(x)
     fps = np.array(sorted(some), np.uint64)
-    row, key = near_dup.keys_of(fps)
+    row, key = near_dup.keys_of(fps[:, None])
     met = defaultdict(list)
     for r, k in zip(row.tolist(), key.tolist(), strict=True):
         met[k].append(r)
-    edges = set()
-    for group in met.values():
-        if len(group) > 1:
-            edges |= set(near_dup.spanning_links(fps[group].view(np.int64)))
-    prints = {i: int(f) for i, f in enumerate(fps)}
-    number = {int(np.int64(f)) if f < 1 << 63 else int(f) - (1 << 64): i for i, f in enumerate(map(int, fps))}
     parent = list(range(len(fps)))
 
     def find(i):
@@ -368,10 +362,39 @@ def test_simhash_links(spark):
             i = parent[i]
         return i
 
-    for a, b in edges:
-        x, y = sorted((find(number[a]), find(number[b])))
-        parent[y] = x
-    assert {i: find(i) for i in prints} == plain_components(prints)
+    for group in met.values():
+        for a, b in zip(*near_dup.spanning_links(fps[group][:, None], 2), strict=True):
+            x, y = sorted((find(group[a]), find(group[b])))
+            parent[y] = x
+    assert {i: find(i) for i in range(len(fps))} == plain_components({i: int(f) for i, f in enumerate(fps)})
+
+
+@pytest.mark.parametrize("bucket", [8192, 3])
+def test_similar_texts(spark, monkeypatch, bucket):
+    """128 bits: what differs in 8 bits or fewer always meets, every link found is one, and edited texts are found."""
+    monkeypatch.setattr(near_dup, "BUCKET", bucket)
+    rng = random.Random(6)
+    base = [[word(rng) for _ in range(rng.randint(60, 200))] for _ in range(25)]
+    rows, edits = [], {}
+    for i, words in enumerate(base):
+        rows.append((i, " ".join(words)))
+        for j in range(3):
+            new = list(words)
+            for at in rng.sample(range(len(new)), len(new) * j // 100):
+                new[at] = word(rng) + "x"
+            edits[100 * (j + 1) + i] = i
+            rows.append((100 * (j + 1) + i, " ".join(new)))
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None), (None, "")], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in near_dup.near_duplicates(docs, scheme=near_dup.SIMILAR).collect()}
+    of = {i: c for (i, _), c in got.items()}
+    prints = {i: int.from_bytes(near_dup.fingerprint(t, near_dup.SIMILAR), "big") for i, t in rows}
+    sure, all_links = plain_components(prints, 8), plain_components(prints, 26)
+    for i in prints:
+        assert of[i] == of[sure[i]] and all_links[of[i]] == all_links[i]
+    assert sum(of[i] == of[j] for i, j in edits.items()) >= 0.95 * len(edits)
+    assert len({of[i] for i in range(25)}) == 25
+    kept = near_dup.drop_near_duplicates(docs).collect()
+    assert len(kept) == len({of[i] for i, _ in rows}) + 1  # texts without words are one group
 
 
 def test_golay():
