@@ -31,7 +31,8 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.bwt import least_owner
+from provspark.llm.bwt import least_owner, sorted_places
 from provspark.llm.common import materialize, small_batches
 
 LENGTH, GRAM = 50, 16
@@ -51,6 +52,8 @@ BLOCK_BYTES = 4 << 20
 NONE = 0xFFFFFFFF
 NO_ID = np.iinfo(np.int64).max - 1
 PLACE = np.uint64(28)
+#: Starts whose anchors are worked out at once.
+PIECE = 1 << 15
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -75,40 +78,67 @@ def unpack(value: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, data[at:]
 
 
+def _words(data: bytes) -> np.ndarray:
+    """The 8 bytes from each place on, as a number."""
+    wide = np.frombuffer(data, np.uint8)
+    return np.lib.stride_tricks.as_strided(wide[:8].view("<u8"), (len(data) - 7,), (1,))
+
+
+def _mixed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    h = low * M1
+    h ^= h >> np.uint64(29)
+    h ^= high
+    h *= M2
+    h ^= h >> np.uint64(32)
+    h *= M1
+    return h
+
+
+def _least_places(words: np.ndarray, length: int) -> np.ndarray:
+    """Of each start: the place of the gram with the smallest hash, the last of equal ones, in its next `length` bytes.
+
+    Worked out in pieces that stay in the processor's cache.
+    """
+    n, window = len(words) + 8 - length, length - GRAM + 1
+    out = np.empty(n, np.int32)
+    top = (np.uint64(1) << PLACE) - np.uint64(1)
+    for at in range(0, n, PIECE):
+        m = min(PIECE, n - at) + window - 1
+        h = _mixed(words[at : at + m], words[at + 8 : at + 8 + m])
+        key = ((h >> PLACE) << PLACE) | (top - np.arange(m, dtype=np.uint64))
+        reach = 1
+        while reach * 2 <= window:
+            key = np.minimum(key[:-reach], key[reach:])
+            reach *= 2
+        if reach < window:
+            key = np.minimum(key[: len(key) - (window - reach)], key[window - reach :])
+        out[at : at + PIECE] = (top - (key & top)).astype(np.int32) + at
+    return out
+
+
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(buffer, text number, hash, first start, number of starts) of each anchor, in order.
 
     Starts are places in the buffer, in which byte 255 follows each text.
     """
     data = b"".join(t + b"\xff" for t in texts)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    n = len(data)
+    sizes = np.array([len(t) for t in texts], np.int64)
     none = np.zeros(0, np.int64)
-    if n < length:
+    if not (sizes >= length).any():
         return data, none, none.astype(np.uint64), none, none
-    owner[np.cumsum(sizes) - 1] = -1
-    wide = np.frombuffer(data, np.uint8)
-    words = np.lib.stride_tricks.as_strided(wide[:8].view("<u8"), (n - 7,), (1,))
-    m = n - GRAM + 1
-    h = (words[:m] * M1) ^ ((words[:m] * M1) >> np.uint64(29))
-    h = (h ^ words[8 : 8 + m]) * M2
-    h ^= h >> np.uint64(32)
-    h *= M1
-    top = (np.uint64(1) << PLACE) - np.uint64(1)
-    key = ((h >> PLACE) << PLACE) | (top - np.arange(m, dtype=np.uint64))
-    window, reach = length - GRAM + 1, 1
-    while reach * 2 <= window:
-        key = np.minimum(key[:-reach], key[reach:])
-        reach *= 2
-    if reach < window:
-        key = np.minimum(key[: len(key) - (window - reach)], key[window - reach :])
-    starts = np.flatnonzero((owner[: len(key)] == owner[length - 1 : length - 1 + len(key)]) & (owner[: len(key)] >= 0))
-    # a separator inside a window has no owner of its own text on both sides, so ends agree only within one text
-    place = (top - (key[starts] & top)).astype(np.int64)
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[starts[1:]] != owner[starts[:-1]])]) if len(starts) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    return data, owner[starts[first]], h[place[first]], starts[first], np.diff(np.append(first, len(starts)))
+    words = _words(data)
+    place = _least_places(words, length)
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    end = begin + sizes - length + 1  # of the starts, of texts that are long enough
+    new, inside = np.ones(len(place), bool), np.zeros(len(place) + 1, np.int8)
+    new[1:] = place[1:] != place[:-1]
+    new[begin[sizes >= length]] = True
+    inside[begin[sizes >= length]] = 1
+    inside[end[sizes >= length]] = -1
+    first = np.flatnonzero(new & np.cumsum(inside[:-1], dtype=np.int8).view(bool))
+    owner = np.searchsorted(begin, first, side="right") - 1
+    at = place[first]
+    return data, owner, _mixed(words[at], words[at + 8]), first, np.minimum(np.append(first[1:], len(place)), end[owner]) - first
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -152,9 +182,10 @@ def in_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
         yield int(last), pa.Table.from_batches(held)
 
 
-def rows_of(values: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(values), 256):
-        a, b, c = zip(*values[k : k + 256], strict=True)
+def rows_of(values: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    it = iter(values)
+    while part := list(islice(it, 256)):
+        a, b, c = zip(*part, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["block", "batch", "value"])
 
 
@@ -171,14 +202,15 @@ def _short_hashes(n_blocks: int, length: int):
             _, owner, h, _, _ = anchors([(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()], length)
             batch = xxhash.xxh64_intdigest(ids.tobytes() + tags.tobytes()) >> 1
             counts = np.bincount(owner, minlength=len(ids)).astype(np.int64)
-            order = np.argsort(h, kind="stable")
+            # in order of some of the bits; equal ones that others part are only sent more often
+            order, _ = sorted_places((h * M2) >> np.uint64(24), 40)
             same = np.concatenate([[False], h[order][1:] == h[order][:-1]]) if len(h) else np.zeros(0, bool)
             twice = same | np.append(same[1:], False) if len(h) else same
             out = [(ABOUT, batch, pack(ids, tags, counts)), (WITHIN, batch, pack(np.sort(order[twice]).astype(np.uint32)))]
             one = order[~same]  # one for each hash, in order of hash
             place = np.where(twice[~same], NONE, one).astype(np.uint32)
             block = bucket_of(h[one], n_blocks)
-            by = np.lexsort((place, block))
+            by = np.argsort((block.astype(np.uint64) << np.uint64(32)) | place)
             block, place, short = block[by], place[by], (h[one][by] & np.uint64(NONE)).astype(np.uint32)
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -196,13 +228,15 @@ def _repeated_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield b.select(["block", "batch", "value"])
             continue
         rows = [unpack(v)[0] for v in part.column("value").to_pylist()]
-        every = np.concatenate([r[0] for r in rows])
-        known, counts = np.unique(every, return_counts=True)
-        known = known[counts > 1]
-        out = []
+        order, run = sorted_places(np.concatenate([r[0] for r in rows]).astype(np.uint64), 32)
+        equal = run[1:] == run[:-1]
+        again = np.zeros(len(order), bool)
+        again[order[np.append(equal, False) | np.concatenate([[False], equal])]] = True
+        out, at = [], 0
         for batch, (short, steps) in zip(part.column("batch").to_pylist(), rows, strict=True):
             place = np.cumsum(steps, dtype=np.uint32)
-            found = place[np.isin(short, known) & (place != NONE)]
+            found = place[again[at : at + len(short)] & (place != NONE)]
+            at += len(short)
             if len(found):
                 out.append((WITHIN, batch, pack(found)))
         yield from rows_of(out)
@@ -266,45 +300,61 @@ def _strings(n_blocks: int, length: int):
     return run
 
 
+class _Block:
+    """The different strings of one block, each with its least owner; what equal strings add is their number."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.owners: list[int] = []
+        self.rows: list[tuple[int, int, np.ndarray]] = []
+
+    def add(self, batch: int, value: bytes) -> None:
+        (first, sizes, ids), raw = unpack(value)
+        ends = np.cumsum(sizes)
+        numbers, owners, which = self.numbers, self.owners, []
+        for lo, hi, i in zip((ends - sizes).tolist(), ends.tolist(), ids.tolist(), strict=True):
+            k = numbers.setdefault(raw[lo:hi], len(numbers))
+            if k == len(owners):
+                owners.append(i)
+            elif i < owners[k]:
+                owners[k] = i
+            which.append(k)
+        self.rows.append((batch, int(first[0]), np.array(which, np.int32)))
+
+    def answers(self, length: int) -> Iterator[tuple[int, int, bytes]]:
+        """For each batch: the least id at each start of its strings, as runs of one least id, none longer than its string."""
+        strings = list(self.numbers)
+        starts = np.array([len(s) - length + 1 for s in strings], np.int64)
+        least = least_owner(strings, np.array(self.owners, np.int64), starts, length)
+        begin = np.cumsum(starts) - starts
+        new = np.concatenate([[True], least[1:] != least[:-1]])
+        new[begin] = True
+        at = np.flatnonzero(new)
+        run_size, run_id = np.diff(np.append(at, len(least))), least[at]
+        run_begin = np.searchsorted(at, begin)
+        run_count = np.diff(np.append(run_begin, len(at)))
+        for batch, first, which in self.rows:
+            k = run_count[which]
+            pick = np.repeat(run_begin[which] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            yield WITHIN, batch, pack(np.array([first], np.int64), k.astype(np.int32), run_size[pick].astype(np.int32), run_id[pick])
+
+
 def _search(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each block: the least id at each start of each batch's strings, as runs."""
-        for block, part in in_groups(batches, "block"):
-            if block < 0:
-                yield from (b.select(["block", "batch", "value"]) for b in part.to_batches(max_chunksize=64))
-                continue
-            numbers: dict[bytes, int] = {}
-            owners: list[int] = []
-            rows = []
-            for value in part.column("value").to_pylist():
-                (first, sizes, ids), raw = unpack(value)
-                ends = np.cumsum(sizes)
-                which = []
-                for lo, hi, i in zip((ends - sizes).tolist(), ends.tolist(), ids.tolist(), strict=True):
-                    k = numbers.setdefault(raw[lo:hi], len(numbers))
-                    if k == len(owners):
-                        owners.append(i)
-                    elif i < owners[k]:
-                        owners[k] = i
-                    which.append(k)
-                rows.append((int(first[0]), np.array(which, np.int64)))
-            strings = list(numbers)
-            starts = np.array([len(s) - length + 1 for s in strings], np.int64)
-            least = least_owner(strings, np.array(owners, np.int64), starts, length)
-            begin = np.cumsum(starts) - starts
-            # runs of one least id, none longer than its string
-            new = np.concatenate([[True], least[1:] != least[:-1]])
-            new[begin] = True
-            at = np.flatnonzero(new)
-            run_size, run_id = np.diff(np.append(at, len(least))), least[at]
-            run_begin = np.searchsorted(at, begin)
-            run_count = np.diff(np.append(run_begin, len(at)))
-            out = []
-            for batch, (first, which) in zip(part.column("batch").to_pylist(), rows, strict=True):
-                k = run_count[which]
-                pick = np.repeat(run_begin[which] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-                out.append((WITHIN, batch, pack(np.array([first], np.int64), k.astype(np.int32), run_size[pick].astype(np.int32), run_id[pick])))
-            yield from rows_of(out)
+        """Rows sorted by block; strings are taken up as they come, so that equal ones are held once."""
+        last, block = ABOUT, _Block()
+        for b in batches:
+            numbers = np.asarray(b.column(0), np.int64)
+            if (about := numbers < 0).any():
+                yield b.filter(pa.array(about)).select(["block", "batch", "value"])
+            for number, batch, value in zip(numbers[~about].tolist(), *(b.column(i).filter(pa.array(~about)).to_pylist() for i in (1, 2)), strict=True):
+                if number != last:
+                    if block.rows:
+                        yield from rows_of(block.answers(length))
+                    last, block = number, _Block()
+                block.add(batch, value)
+        if block.rows:
+            yield from rows_of(block.answers(length))
 
     return run
 
@@ -396,7 +446,8 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = F
     )
     sizes = materialize(rows.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "substr")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
-    n_blocks = int(min(max(total // BLOCK_BYTES, 16), 1 << 15))
+    # some for each task, so that none waits for a few large ones
+    n_blocks = int(max(total // BLOCK_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # whole copies
     first = sizes.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = materialize(first.select("sha", "first"), "substr")  # as a table, so that a join with one hot digest can be split
