@@ -7,14 +7,15 @@ earlier place: in a document with a smaller id, or earlier in the same one.
 Texts that share an id, or have none, are documents of their own and ordered by
 a digest of the text.
 
-Winnowing finds them: of every window of `run` line hashes the smallest (of
-equal ones the last) is selected, so two places that share a passage share a
-selected line. Selected lines are joined by hash; those that occur once end
-there. From a selected line that occurs again a match is extended both ways
-to the windows that had selected it, and windows are compared by a 128-bit
-digest with the first place of each, so a line that is everywhere costs one
-row for each place and never a pair of places. Shorter windows that hold enough
-words are selected from and compared in the same way, each length for itself.
+Winnowing finds them. Of every window of line hashes that may be a passage the
+smallest (of equal ones the last) is selected, so two places that share a
+passage share a selected line at the same distance from its start. Only
+selected positions are sent, one row each, and joined by hash with the hashes
+that were selected at two places or more. From a position that is left, the
+match is extended both ways, to the ends of the windows that selected it, and
+each extension is compared, by a 128-bit digest, with the first place that has
+the same one. So a line that is everywhere costs a row for each place and never
+a pair of places, and a longer repeated run is the union of its extensions.
 
 Edge cases: a null text has no lines and stays null; blank lines are never
 deleted unless they stand between deleted ones; repeated rows with one id and
@@ -48,35 +49,36 @@ def selected(hashes: np.ndarray, run: int) -> list[tuple[int, int]]:
     return [(int(s + k), s) for s, k in enumerate(last)]
 
 
-def windows_of(text: str | None, run: int, long_words: int) -> list[tuple[int, bytes, int, int]]:
-    """(hash of the selected line, digest of the window, first line, number of lines)."""
+def positions(text: str | None, run: int, long_words: int) -> list[tuple[int, int, list[tuple[int, int, bytes]]]]:
+    """Selected positions: (hash, line, [(first line, number of lines, digest) of each window that selected it])."""
     if not text:
         return []
     lines = [x for x in (y.strip() for y in text.encode("utf-8", "surrogatepass").split(b"\n")) if x]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    out = [(int(hashes[i]), xxhash.xxh128_digest(b"\n".join(lines[s : s + run])), s, run) for i, s in selected(hashes, run)]
     words = np.cumsum([0, *(len(x.split()) for x in lines)])
-    for n in range(1, run):
-        long = [(i, s) for i, s in selected(hashes, n) if words[s + n] - words[s] >= long_words]
-        out += [(int(hashes[i]), xxhash.xxh128_digest(b"\n".join(lines[s : s + n])), s, n) for i, s in long]
-    return out
+    by: dict[int, list[tuple[int, int, bytes]]] = {}
+    for n in range(1, run + 1):
+        for at, s in selected(hashes, n):
+            if n == run or words[s + n] - words[s] >= long_words:
+                by.setdefault(at, []).append((s, n, xxhash.xxh3_128_digest(b"\n".join(lines[s : s + n]))))
+    return [(int(hashes[at]), at, found) for at, found in by.items()]
 
 
-def _windows(run: int, long_words: int):
+def _positions(run: int, long_words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [windows_of(t, run, long_words) for t in b.column(2).to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            found = [positions(t, run, long_words) for t in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
             rows = [r for x in found for r in x]
+            flat = [w for r in rows for w in r[2]]
             line = np.fromiter((r[0] for r in rows), np.uint64, len(rows)).view(np.int64)
-            cols = [
-                pa.array(line, pa.int64()),
-                pa.array([r[1] for r in rows], pa.binary()),
-                pa.array([r[2] for r in rows], pa.int32()),
-                pa.array([r[3] for r in rows], pa.int32()),
-            ]
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cols], ["doc_id", "tag", "line", "passage", "start", "lines"])
+            windows = pa.StructArray.from_arrays(
+                [pa.array([w[0] for w in flat], pa.int32()), pa.array([w[1] for w in flat], pa.int32()), pa.array([w[2] for w in flat], pa.binary())],
+                ["start", "lines", "passage"],
+            )
+            ends = np.cumsum([0, *(len(r[2]) for r in rows)])
+            cols = [pa.array(line, pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), windows)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cols], ["doc_id", "tag", "line", "at", "windows"])
 
     return go
 
@@ -86,14 +88,17 @@ def repeated_passages(docs: DataFrame, run: int = RUN, long_words: int = LONG_WO
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(_windows(run, long_words), f"doc_id {kind}, tag long, line long, passage binary, start int, lines int")
-    rows = materialize(rows, "lines")
-    again = rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    near = rows.join(again, "line", "left_semi")
+    out = f"doc_id {kind}, tag long, line long, at int, windows array<struct<start: int, lines: int, passage: binary>>"
+    rows = materialize(rows.mapInArrow(_positions(run, long_words), out), "lines")
+    # both sides of each join are written tables, so that a hot line or passage can be split
+    again = materialize(rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "lines")
+    extended = rows.join(again, "line", "left_semi").select("doc_id", "tag", F.inline("windows"))
+    extended = materialize(extended, "lines")
     # the first place of each passage; nulls come last
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"), F.col("start").alias("at"))
-    first = near.groupBy("passage").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("passage", "first")
-    return near.join(first, "passage").where(place > F.col("first")).select("doc_id", "tag", "start", "lines")
+    first = extended.groupBy("passage").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("passage", "first")
+    first = materialize(first, "lines")
+    return extended.join(first, "passage").where(place > F.col("first")).select("doc_id", "tag", "start", "lines")
 
 
 def strip_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -150,8 +155,11 @@ ORACLE = r"""
 WITH a AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
 l AS (SELECT doc_id, i, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM a),
 f AS (SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE x <> ''),
-w AS (SELECT doc_id, k, 3 AS n, concat(x, chr(10), lead(x, 1) OVER q, chr(10), lead(x, 2) OVER q) AS p, lead(x, 2) OVER q AS z FROM f WINDOW q AS (PARTITION BY doc_id ORDER BY k)
-    UNION ALL SELECT doc_id, k, 1 AS n, x AS p, x AS z FROM f WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50),
+c AS (SELECT doc_id, k, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS c1 FROM f),
+v AS (SELECT *, lead(x, 1) OVER q AS x2, lead(x, 2) OVER q AS x3, c1 + lead(c1, 1) OVER q AS c2 FROM c WINDOW q AS (PARTITION BY doc_id ORDER BY k)),
+w AS (SELECT doc_id, k, 3 AS n, concat(x, chr(10), x2, chr(10), x3) AS p, x3 AS z FROM v
+    UNION ALL SELECT doc_id, k, 2 AS n, concat(x, chr(10), x2) AS p, x2 AS z FROM v WHERE c2 >= 50
+    UNION ALL SELECT doc_id, k, 1 AS n, x AS p, x AS z FROM v WHERE c1 >= 50),
 m AS (SELECT doc_id, k, n, row_number() OVER (PARTITION BY n, p ORDER BY doc_id, k) AS r FROM w WHERE z IS NOT NULL),
 d AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS k FROM m WHERE r > 1),
 g AS (SELECT f.doc_id, f.i, f.k, d.k IS NOT NULL AS gone, coalesce(lag(d.k IS NOT NULL) OVER (PARTITION BY f.doc_id ORDER BY f.k), false) AS before FROM f LEFT JOIN d ON d.doc_id = f.doc_id AND d.k = f.k),
