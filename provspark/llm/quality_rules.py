@@ -12,9 +12,8 @@ Edge cases: a null text has no words and fails the base rules; a null language
 is a language of its own when references are formed; with no reference at all
 (no text passes) nothing else is kept either, as every text has failed; texts
 are never cut; repeated rows are judged each; an empty table gives an empty
-result. Columns other than id, text and language are ignored. Of languages,
-the max_langs with the most texts have references of their own and all others
-share one, so what the driver gathers is bounded.
+result. Columns other than id, text and language are ignored. Every language
+has a reference of its own; the driver gathers one row of sums for each.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, small_batches
+from provspark.llm.common import in_parts, materialize
 
 # Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = (
@@ -142,24 +141,20 @@ def _sum_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str | None, list] = {}
     for b in batches:
         hist = np.asarray(b.column(1).flatten(), np.int64).reshape(len(b), -1)
-        langs = np.array([x if x is not None else "\0" for x in b.column(0).to_pylist()], object)
-        for lang in set(langs.tolist()):
-            part = hist[langs == lang]
+        for lang, row in zip(b.column(0).to_pylist(), hist, strict=True):
             s = sums.setdefault(lang, [0, np.zeros(hist.shape[1], np.int64)])
-            s[0] += len(part)
-            s[1] += part.sum(axis=0)
+            s[0] += 1
+            s[1] += row
     for lang, (n, s) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.int64()))], ["lang", "n", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.int64()))], ["lang", "n", "sums"])
 
 
-def references(measured: DataFrame, max_langs: int = 256) -> np.ndarray:
+def references(measured: DataFrame) -> np.ndarray:
     """A row of shares for each language."""
     passed = measured.where(~F.col("base_failed")).select("lang", "hist").mapInArrow(_sum_by_lang, "lang string, n long, sums array<long>")
     width = N_CLASS + N_WORD
     totals = passed.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
-    top = totals.orderBy(F.desc("n"), "lang").limit(max_langs)
-    rest = totals.join(top.select("lang"), "lang", "left_anti").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
-    rows = [r["sums"] for r in top.select("sums").collect()] + [r["sums"] for r in rest.collect() if r["sums"][0] is not None]
+    rows = [r["sums"] for r in totals.orderBy(F.desc("n"), "lang").select("sums").collect()]
     return _shares(np.array(rows, float)) if rows else np.zeros((0, width))
 
 
@@ -189,7 +184,6 @@ def quality_rules(
     docs: DataFrame,
     limit_class: float = LIMIT_CLASS,
     limit_word: float = LIMIT_WORD,
-    max_langs: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -198,14 +192,13 @@ def quality_rules(
 
     The distances are those to the language that fits best.
     """
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     longs = ", ".join(f"{n} long" for n in MEASURED)
     measured = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    measured = measured.mapInArrow(_measure, f"doc_id {kind}, lang string, {longs}, hist array<int>")
+    measured = measured.mapInArrow(in_parts(_measure), f"doc_id {kind}, lang string, {longs}, hist array<int>")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = materialize(measured.withColumn("base_failed", failed), "quality")
-    refs = references(measured, max_langs)
+    refs = references(measured)
     out = f"doc_id {kind}, {longs}, base_failed boolean, kept boolean, class_distance double, word_distance double"
     return measured.select("doc_id", *MEASURED, "base_failed", "hist").mapInArrow(_verdict(refs, limit_class, limit_word), out)
 
