@@ -12,10 +12,11 @@ n-grams are 3 and 4 code points long and lie within a word or reach one blank
 on either side.
 
 Training takes at most per_lang documents of each language, those with the
-smallest id hashes, and keeps at most max_ngrams n-grams, the most frequent.
-An n-gram belongs to the languages in which its share is at least 1 / ratio of
-its largest share. Of languages, the 64 with most documents are learned. The
-learned filter has a fixed size, so it is sent to workers as it is.
+smallest id hashes; this bound alone sets how many n-grams there are. Those that
+a language has twice or more are learned, all of them and for all languages. An
+n-gram belongs to the languages in which its share is at least 1 / ratio of its
+largest share. The filter has at least 16 places for each n-gram, and a mask
+word of 8 or 64 bits at each place for every so many languages.
 
 Edge cases: a null text or one without letters is `und` with score 0; a text
 whose n-grams are all unknown gets the most frequent language with that
@@ -35,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, small_batches
+from provspark.llm.common import in_parts, materialize
 
-PER_LANG, MAX_NGRAMS, MAX_LANGS = 20_000, 500_000, 64
-SLOTS, HASHES = 1 << 21, 3
-RATIO, LEAST = 4.0, 3
+PER_LANG = 20_000
+#: Least size of the filter, and places for each n-gram.
+SLOTS, ROOM, HASHES = 1 << 21, 16, 3
+RATIO, LEAST = 4.0, 2
 BLANK = np.uint32(32)
 STEP, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _letters: list[np.ndarray] = []
@@ -94,12 +96,12 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.bincount(o, minlength=len(texts))
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
-    """The places of each hash."""
+def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of each hash in a filter of 2**bits."""
     out = []
     for _ in range(HASHES):
         h = (h ^ (h >> np.uint64(31))) * MIX2
-        out.append((h >> np.uint64(43)).astype(np.int64))
+        out.append((h >> np.uint64(64 - bits)).astype(np.int64))
     return out
 
 
@@ -107,28 +109,34 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 class Model:
     langs: list[str]
     prior: list[float]
+    #: A row of places for every so many languages.
     masks: np.ndarray
     chance: np.ndarray
 
     @classmethod
-    def build(cls, langs: list[str], prior: list[float], h: np.ndarray, bits: np.ndarray) -> Model:
+    def build(cls, langs: list[str], prior: list[float], h: np.ndarray, lang: np.ndarray) -> Model:
+        """h, lang: an n-gram's hash and the number of a language that has it."""
         kind = np.uint8 if len(langs) <= 8 else np.uint64
-        masks = np.zeros(SLOTS, kind)
-        for at in slots(h):
-            np.bitwise_or.at(masks, at, bits.astype(kind))
-        fill = np.array([np.count_nonzero(masks >> kind(i) & kind(1)) / SLOTS for i in range(len(langs))])
+        width = 8 * kind().itemsize
+        size = max(SLOTS, 1 << (ROOM * len(h)).bit_length())
+        masks = np.zeros((-(-len(langs) // width), size), kind)
+        for at in slots(h, size.bit_length() - 1):
+            np.bitwise_or.at(masks, (lang // width, at), kind(1) << (lang % width).astype(kind))
+        fill = np.array([np.count_nonzero(masks[i // width] >> kind(i % width) & kind(1)) / size for i in range(len(langs))])
         return cls(langs, prior, masks, np.minimum(fill**HASHES, 0.99))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         h, counts = ngrams(texts)
-        mask = np.bitwise_and.reduce([self.masks[at] for at in slots(h)]) if len(h) else np.zeros(0, self.masks.dtype)
         starts = np.cumsum(counts) - counts
         full = counts > 0
         found = np.zeros((len(self.langs), len(texts)))
-        for i in range(len(self.langs)):
-            hit = (mask >> mask.dtype.type(i) & mask.dtype.type(1)).astype(np.int64)
-            if full.any():
-                found[i, full] = np.add.reduceat(hit, starts[full])
+        if full.any():
+            kind, width = self.masks.dtype.type, 8 * self.masks.dtype.itemsize
+            places = slots(h, self.masks.shape[1].bit_length() - 1)
+            for w, row in enumerate(self.masks):
+                mask = np.bitwise_and.reduce([row[at] for at in places])
+                for i in range(w * width, min((w + 1) * width, len(self.langs))):
+                    found[i, full] = np.add.reduceat((mask >> kind(i % width) & kind(1)).astype(np.int64), starts[full])
         found = np.maximum((found - counts * self.chance[:, None]) / (1 - self.chance[:, None]), 0)
         out = []
         for j, text in enumerate(texts):
@@ -188,32 +196,27 @@ def is_held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_ngrams: int = MAX_NGRAMS) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """docs: (doc_id, text, lang), all of it for training."""
     known = docs.where("lang is not null")
-    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     langs, sizes = [r["lang"] for r in rows], [r["count"] for r in rows]
     if not langs:
-        return Model([], [], np.zeros(SLOTS, np.uint8), np.zeros(0))
+        return Model([], [], np.zeros((0, SLOTS), np.uint8), np.zeros(0))
     # a document is in the sample by a hash of its id; the share is set so that per_lang are expected
-    share = F.create_map(*[x for lang, n in zip(langs, sizes, strict=True) for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
+    spark = docs.sparkSession
+    share = spark.createDataFrame([(lang, min(1.0, per_lang / n)) for lang, n in zip(langs, sizes, strict=True)], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counted = sample.mapInArrow(_count(langs), "h long, lang int, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
+    sample = known.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")  # a row for each language
+    counted = sample.mapInArrow(in_parts(_count(langs)), "h long, lang int, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
     counted = materialize(counted.where(F.col("n") >= LEAST), "langid")
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    every = F.create_map(*[x for i, n in totals.items() for x in (F.lit(i), F.lit(float(n)))]) if totals else None
-    if every is None:
-        return Model(langs, [n / sum(sizes) for n in sizes], np.zeros(SLOTS, np.uint8), np.zeros(len(langs)))
-    by_gram = counted.withColumn("p", F.col("n") / F.element_at(every, F.col("lang"))).groupBy("h").agg(
-        F.max("p").alias("most"), F.collect_list(F.struct("lang", "p")).alias("ps"), F.sum("n").alias("n")
-    )  # at most one entry a language
-    near = F.filter("ps", lambda x: x["p"] * RATIO >= F.col("most"))
-    bits = F.aggregate(near, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])))
-    top = by_gram.select("h", "n", bits.alias("bits")).orderBy(F.desc("n"), "h").limit(max_ngrams).select("h", "bits").toArrow()
-    h = np.asarray(top.column("h").combine_chunks(), np.int64).view(np.uint64)
-    b = np.asarray(top.column("bits").combine_chunks(), np.int64).view(np.uint64)
-    return Model.build(langs, [n / sum(sizes) for n in sizes], h, b)
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    near = counted.join(F.broadcast(totals), "lang").select("h", "lang", (F.col("n") / F.col("total")).alias("p"))
+    most = near.groupBy("h").agg(F.max("p").alias("most"))
+    found = near.join(most, "h").where(F.col("p") * RATIO >= F.col("most")).select("h", "lang").toArrow()
+    h = np.asarray(found.column("h").combine_chunks(), np.int64).view(np.uint64)
+    lang = np.asarray(found.column("lang").combine_chunks(), np.int64)
+    return Model.build(langs, [n / sum(sizes) for n in sizes], h, lang)
 
 
 def _predict(model):
@@ -230,15 +233,13 @@ def _predict(model):
 def identify_languages(
     docs: DataFrame,
     per_lang: int = PER_LANG,
-    max_ngrams: int = MAX_NGRAMS,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
     """One row per document: (doc_id, held_out, lang_pred, score)."""
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("held_out", is_held_out(F.col("doc_id")))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows.where(~F.col("held_out")), per_lang, max_ngrams))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows.where(~F.col("held_out")), per_lang))
+    return rows.select("doc_id", "held_out", "text").mapInArrow(in_parts(_predict(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
