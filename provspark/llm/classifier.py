@@ -2,26 +2,29 @@
 
 Heuristic labellers vote on each text: accept, reject or abstain. There are
 two groups, on form (symbols, repetition, case, word length, function words,
-repeated lines) and on abuse (a fixed word list, and word and word-start lists
-learned from a bounded sample of labelled rows). For each group,
-expectation-maximisation over the counts of all vote patterns of the corpus
-estimates how often each labeller is right in either class and gives every
-pattern a posterior. Posteriors are the labels of a hashed linear scorer: its
+repeated lines) and on abuse (lists of words and of word starts learned from a
+bounded sample of labelled rows). For each group, expectation-maximisation over
+the counts of all vote patterns of the corpus estimates how often each labeller
+is right in either class and gives every pattern a posterior; the posteriors
+are held to the constraint that silence is no evidence against a text
+(posterior regularisation: Ganchev et al., 2010). Posteriors are the labels of a hashed linear scorer: its
 features are hashed words, word starts and bucketed measures, chosen by how
 far their frequencies differ between the classes and fitted by logistic
 regression on a bounded sample. The scorer decides; the posteriors do not.
 
 Bounds: at most per_class labelled rows of each class (by a hash of the id)
-teach the word lists, which hold at most max_terms entries; at most per_side
-documents on each side of posterior 1/2 (by a hash of the id) train a scorer.
-What the driver gathers depends on these alone, and on the number of vote
-patterns, which is at most 3 to the number of labellers.
+teach the word lists; at most per_side documents on each side of posterior 1/2
+(by a hash of the id) train a scorer. The driver gathers what these rows'
+chosen features need, the words of the lists, and the counts of vote patterns,
+of which there are at most 3 to the number of labellers; feature frequencies
+are summed by the executors.
 
 Edge cases: null, empty and blank texts have no words, so all labellers
 abstain and the scorer sees its bucketed measures only: they are kept unless
 texts like them were rejected; null labels are ignored and a table of labels
 without rows leaves the learned lists empty; repeated rows are scored each;
-texts are never cut; an empty table gives an empty result. Columns other than
+of rows that
+repeat an id one trains; texts are never cut; an empty table gives an empty result. Columns other than
 id and text are passed on by keep_accepted and ignored by classify.
 """
 
@@ -42,17 +45,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, small_batches
+from provspark.llm.common import in_parts, materialize
 
-PER_CLASS, MAX_TERMS, PER_SIDE = 4_000, 4_000, 6_000
+PER_CLASS, PER_SIDE = 4_000, 6_000
 BINS = 1 << 18
 ABSTAIN, ACCEPT, REJECT = 0, 1, 2
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word starts.
 STARTS = (4, 5)
 
-# Common insults, and frequent function words of four languages.
-INSULTS = frozenset("idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown clowns disgusting dumb imbecile".split())
+# Frequent function words of four languages.
 FUNCTION_WORDS = frozenset(
     "the of and to a in is that it for was with as by be are this on an at or from le la de et les des en un une du que pour dans par sur avec "
     "der die und das den von zu mit sich dem auf für ist im nicht ein eine el los se del las por con su para es al".split()
@@ -108,7 +110,7 @@ def words_in(tokens) -> set[str]:
 
 
 class TokenHits(dict):
-    """Of a token: its insults, learned words and learned starts, in one number; bounded."""
+    """Of a token: its learned words and learned starts, in one number; bounded."""
 
     def __init__(self, lex: Lexicons) -> None:
         super().__init__()
@@ -119,16 +121,16 @@ class TokenHits(dict):
             self.clear()
         out = 0
         for w in [token] if token.isalpha() else WORD.findall(token):
-            out += (w in INSULTS) + ((w in self.lex.words) << 20)
+            out += w in self.lex.words
             for k in STARTS:
                 if len(w) > k and w[:k] in self.lex.starts:
-                    out += 1 << 40
+                    out += 1 << 32
         self[token] = out
         return out
 
-    def of(self, tokens: list[str]) -> tuple[int, int, int]:
+    def of(self, tokens: list[str]) -> tuple[int, int]:
         total = sum(map(self.__getitem__, tokens))
-        return total & 0xFFFFF, total >> 20 & 0xFFFFF, total >> 40
+        return total & 0xFFFFFFFF, total >> 32
 
 
 def form_votes(m: Measured) -> list[int]:
@@ -150,14 +152,14 @@ def form_votes(m: Measured) -> list[int]:
 
 
 def abuse_votes(m: Measured, lists: TokenHits) -> list[int]:
-    """Three labellers that reject, by their share of words, or abstain, and one that accepts what is free of them."""
+    """Two labellers that reject, by their share of words, or abstain, and one that accepts what is free of them."""
     if not m.n:
         return [ABSTAIN] * N_ABUSE
     hits = lists.of(m.tokens)
     return [REJECT if x >= 2 and 125 * x >= m.n else ABSTAIN for x in hits] + [ACCEPT if 250 * max(hits) < m.n else ABSTAIN]
 
 
-N_FORM, N_ABUSE = 8, 4
+N_FORM, N_ABUSE = 8, 3
 
 
 def code_of(votes: list[int]) -> int:
@@ -175,8 +177,9 @@ def estimate(patterns: dict[int, int], n: int, rounds: int = 200) -> tuple[dict[
     """Posterior of rejection for each vote pattern, and P(vote | class) as [class, labeller, vote].
 
     Dawid-Skene with two classes and three votes; starts from the share of
-    rejecting votes among those cast. A text that no labeller rejects is never
-    taken as rejected, so silence alone cannot form the second class.
+    rejecting votes among those cast. After each estimate the posteriors are
+    projected on a constraint: 0.2 at most for a text that no labeller rejects,
+    so that silence cannot form the second class.
     """
     codes = sorted(patterns)
     if not codes:
@@ -280,26 +283,28 @@ class TokenWeights(dict):
         return tuple(1 / (1 + exp(-max(min(x, 500.0), -500.0))) for x in (total.real, total.imag))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, prior: float = 0.5, rounds: int = 400) -> Scorer:
-    """Logistic regression on the bins whose frequencies differ clearly between the classes.
+def choose(pos: np.ndarray, neg: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The bins whose frequencies in a rejected and b other texts differ clearly."""
+    p, q = (pos + 0.5) / (a + 1), (neg + 0.5) / (b + 1)
+    z = (p - q) / np.sqrt(p * (1 - p) / max(a, 1) + q * (1 - q) / max(b, 1) + 1e-12)
+    return (np.abs(z) > 4) & (pos + neg >= 5)
+
+
+def train(rows: list[np.ndarray], target: np.ndarray, chosen: np.ndarray, prior: float = 0.5, rounds: int = 400, most: float = 8.0) -> Scorer:
+    """Logistic regression on the chosen bins; rows hold no others.
 
     Both classes weigh the same in training; the bias is then moved to the
-    corpus' share of rejected texts (prior), by no more than a factor of 8.
+    corpus' share of rejected texts (prior), by no more than a factor of
+    `most`: so much dearer is a rejected text that stays than a good one that
+    goes.
     """
     hard = target > 0.5
     if not rows or not hard.any():
         return Scorer(np.zeros(BINS, np.float32), -20.0)
     a, b = max(hard.sum(), 1), max((~hard).sum(), 1)
-    pos, neg = np.zeros(BINS), np.zeros(BINS)
-    for r, bad in zip(rows, hard, strict=True):  # row by row: only chosen bins are ever held together
-        (pos if bad else neg)[r[:, 0].astype(np.int64)] += 1
-    p, q = (pos + 0.5) / (a + 1), (neg + 0.5) / (b + 1)
-    z = (p - q) / np.sqrt(p * (1 - p) / a + q * (1 - q) / b + 1e-12)
-    chosen = (np.abs(z) > 4) & (pos + neg >= 5)
     number = np.cumsum(chosen) - 1
-    kept = [r[chosen[r[:, 0].astype(np.int64)]] for r in rows]
-    own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
-    both = np.concatenate(kept)
+    own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    both = np.concatenate(rows)
     cols, value, width = number[both[:, 0].astype(np.int64)], both[:, 1], int(chosen.sum())
     w, bias = np.zeros(width), 0.0
     share = np.where(hard, 0.5 / a, 0.5 / b)
@@ -313,7 +318,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, prior: float = 0.5, rounds
         w, bias = w - step[:-1], bias - step[-1]
     full = np.zeros(BINS, np.float32)
     full[chosen] = w
-    return Scorer(full, float(bias + np.clip(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), -np.log(8), 0)))
+    return Scorer(full, float(bias + np.clip(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), -np.log(most), 0)))
 
 
 def _terms(toxic: dict):
@@ -347,10 +352,10 @@ def draw(column: str, salt: str):
     return F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1 << 30)) / float(1 << 30)
 
 
-def lexicons(docs: DataFrame, labels: DataFrame, per_class: int, max_terms: int) -> Lexicons:
+def lexicons(docs: DataFrame, labels: DataFrame, per_class: int) -> Lexicons:
     """Words and word starts that mark labelled abuse."""
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
+    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic")
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Lexicons()
     rows = []
@@ -358,12 +363,11 @@ def lexicons(docs: DataFrame, labels: DataFrame, per_class: int, max_terms: int)
         part = known.where((F.col("toxic") == side) & (draw("doc_id", "labels") < per_class / n))
         rows += part.orderBy(draw("doc_id", "labels"), "doc_id").limit(per_class).collect()
     toxic = {r["doc_id"]: int(r["toxic"]) for r in rows}
-    found = pick(docs, list(toxic)).mapInArrow(_terms(toxic), "term string, a long, b long")
+    found = pick(docs, list(toxic)).mapInArrow(in_parts(_terms(toxic)), "term string, a long, b long")
     a, b = (max(sum(v == s for v in toxic.values()), 1) for s in (1, 0))
     total = found.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = (F.col("a") / a) / (F.col("b") / b + 0.0005)
-    top = total.where((F.col("a") >= max(4, a // 100)) & (odds >= 12)).orderBy(F.desc("a"), "term").limit(max_terms).select("term").collect()
-    terms = [r["term"] for r in top]
+    terms = [r["term"] for r in total.where((F.col("a") >= max(4, a // 100)) & (odds >= 12)).select("term").collect()]
     return Lexicons(frozenset(t[2:] for t in terms if t[0] == "w"), frozenset(t[2:] for t in terms if t[0] == "s"))
 
 
@@ -382,7 +386,52 @@ def _vote(lex: Lexicons):
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [features(measure(t)).tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "bins"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], ["doc_id", "bins", "post"])
+
+
+def as_rows(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.float32).reshape(-1, 2) for x in column.to_pylist()]
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of either side have each bin."""
+    sums = np.zeros((2, BINS), np.int64)
+    for b in batches:
+        for r, post in zip(as_rows(b.column(1)), b.column(2).to_pylist(), strict=True):
+            sums[int(post > 0.5), r[:, 0].astype(np.int64)] += 1
+    used = np.flatnonzero(sums.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[1, used]), pa.array(sums[0, used])], ["bin", "pos", "neg"])
+
+
+def _only(chosen):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r[chosen.value[r[:, 0].astype(np.int64)]].tobytes() for r in as_rows(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], ["doc_id", "bins", "post"])
+
+    return run
+
+
+def fit_scorer(docs: DataFrame, posts: dict, prior: float) -> Scorer:
+    """A scorer from the texts of few ids with their posteriors."""
+    nothing = np.zeros(BINS, bool)
+    if not posts:
+        return train([], np.zeros(0), nothing)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    few = spark.createDataFrame(list(posts.items()), f"doc_id {kind}, post double")
+    schema = f"doc_id {kind}, bins binary, post double"
+    found = docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "post").mapInArrow(in_parts(_features), schema)
+    # of rows that repeat an id one counts, so that their number is bounded
+    found = materialize(found.groupBy("doc_id").agg(F.min("bins").alias("bins"), F.first("post").alias("post")), "features")
+    sums = found.mapInArrow(_sums, "bin int, pos long, neg long").groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    pos, neg = np.zeros(BINS), np.zeros(BINS)
+    at = np.asarray(sums.column("bin").combine_chunks(), np.int64)
+    pos[at], neg[at] = np.asarray(sums.column("pos").combine_chunks()), np.asarray(sums.column("neg").combine_chunks())
+    hard = sum(p > 0.5 for p in posts.values())
+    chosen = choose(pos, neg, hard, len(posts) - hard)
+    got = found.mapInArrow(_only(spark.sparkContext.broadcast(chosen)), schema).toArrow().sort_by("doc_id")  # so that reruns agree
+    rows = as_rows(got.column("bins"))
+    return train(rows, np.array(got.column("post").to_pylist()), chosen, prior)
 
 
 @dataclass
@@ -394,11 +443,11 @@ class Model:
     abuse_votes: np.ndarray
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_terms: int = MAX_TERMS, per_side: int = PER_SIDE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, per_side: int = PER_SIDE) -> Model:
     """docs: (doc_id, text). labels: (doc_id, toxic)."""
     kind = dict(docs.dtypes)["doc_id"]
-    lex = lexicons(docs, labels, per_class, max_terms)
-    votes = materialize(docs.mapInArrow(_vote(lex), f"doc_id {kind}, form int, abuse int"), "votes")
+    lex = lexicons(docs, labels, per_class)
+    votes = materialize(docs.mapInArrow(in_parts(_vote(lex)), f"doc_id {kind}, form int, abuse int"), "votes")
     scorers, given = {}, {}
     for name, n in (("form", N_FORM), ("abuse", N_ABUSE)):
         counts = {r[name]: r["count"] for r in votes.groupBy(name).count().collect()}
@@ -413,16 +462,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
             part = votes.where(F.col("doc_id").isNotNull() & F.col(name).isin(codes) & (draw("doc_id", name) < 1.2 * per_side / total))
             rows = part.select("doc_id", name).orderBy(draw("doc_id", name), "doc_id").limit(per_side).collect()
             chosen |= {r["doc_id"]: post[r[name]] for r in rows}
-        if not chosen:
-            scorers[name] = train([], np.zeros(0))
-            continue
-        got = pick(docs, list(chosen)).mapInArrow(_features, f"doc_id {kind}, bins binary").toArrow()
-        ids = got.column("doc_id").to_pylist()
-        order = sorted(range(len(ids)), key=ids.__getitem__)  # so that reruns agree
-        bins = got.column("bins")
-        rows = [np.frombuffer(bins[i].as_buffer(), np.float32).reshape(-1, 2) for i in order]
-        scorers[name] = train(rows, np.array([chosen[ids[i]] for i in order]), prior)
-        del got, bins, rows
+        scorers[name] = fit_scorer(docs, chosen, prior)
     return Model(scorers["form"], scorers["abuse"], given["form"], given["abuse"])
 
 
@@ -442,7 +482,6 @@ def _score(model, text_at: int, only_kept: bool):
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bounds: dict):
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows, docs.sparkSession.sparkContext.broadcast(fit(rows, labels, **bounds))
 
@@ -451,10 +490,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per document: (doc_id, form_score, abuse_score, accepted)."""
     rows, model = _fitted(docs, labels, id_col, text_col, bounds)
     kind = dict(docs.dtypes)[id_col]
-    return rows.mapInArrow(_score(model, 1, False), f"doc_id {kind}, form_score double, abuse_score double, accepted boolean")
+    return rows.mapInArrow(in_parts(_score(model, 1, False)), f"doc_id {kind}, form_score double, abuse_score double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
     _, model = _fitted(docs, labels, id_col, text_col, bounds)
-    return docs.mapInArrow(_score(model, docs.columns.index(text_col), True), docs.schema)
+    return docs.mapInArrow(in_parts(_score(model, docs.columns.index(text_col), True)), docs.schema)
