@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.session import discard, materialize, shared_dir, stored
 
-__all__ = ["discard", "materialize", "shared_dir", "stored", "small_batches", "table", "native_word_count", "connected_components"]
+__all__ = ["discard", "materialize", "shared_dir", "stored", "in_parts", "table", "native_word_count", "connected_components"]
 
+#: Rows and bytes that a worker takes up at once.
+PART_ROWS, PART_BYTES = 512, 4 << 20
 #: Edges for each task of a round of the component search.
 ROUND_ROWS = 200_000
 
@@ -16,11 +21,21 @@ ROUND_ROWS = 200_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches for tables with very long texts, unless the user has set a bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+def in_parts(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f over batches cut to at most PART_ROWS rows and, but for a single row, PART_BYTES bytes.
+
+    What a worker makes of long texts at once is bounded by this, whatever the session's batch size.
+    """
+
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if len(b) > 1 and (len(b) > PART_ROWS or b.nbytes > PART_BYTES):
+            half = len(b) // 2
+            yield from cut(b.slice(0, half))
+            yield from cut(b.slice(half))
+        else:
+            yield b
+
+    return lambda batches: f(part for b in batches for part in cut(b))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,8 @@ with more blocks it takes them in turn for each batch, so memory stays bounded
 whatever the size of the benchmark.
 
 Edge cases: null, empty or wordless texts and items have no words and match
-nothing; items with a null id are ignored; repeated items and repeated rows
+nothing; an item without an id hits words like any other but is not counted or
+named among the items; repeated items and repeated rows
 count once and each; overlapping hits count once; texts are never cut short;
 empty tables give zero hits or an empty result. Columns other than those named
 are passed on by remove_contamination and ignored by find_contamination.
@@ -36,7 +37,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import small_batches
+from provspark.llm.common import in_parts
 
 WINDOW = 13
 #: Contaminated if hit words are at least one in so many.
@@ -120,9 +121,9 @@ class ItemAutomaton:
             u = v
             while u > 0 and self.length[self.link[u]] >= self.window:
                 u = self.link[u]
-            self.full.append(tuple(sorted(owners.get(u, ()))) if self.length[u] >= self.window else ())
+            self.full.append(tuple(owners.get(u, ())) if self.length[u] >= self.window else ())
         # of each state: whole short items that end its strings, own ones and those of shorter suffixes
-        own = {v: [(n, tuple(sorted(x))) for n, x in d.items()] for v, d in whole.items()}
+        own = {v: [(n, tuple(x)) for n, x in d.items()] for v, d in whole.items()}
         self.short: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
         if own:
             for v in sorted(range(1, len(self.length)), key=self.length.__getitem__):
@@ -182,7 +183,7 @@ def build_blocks(benchmark: DataFrame, window: int, block_words: int, id_col: st
         names.append(name)
 
     held = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     for row in rows.toLocalIterator():
         words = words_of(row["t"])
         if block and held + len(words) > block_words:
@@ -217,7 +218,7 @@ def scan_batch(names: list[str], texts: list[str | None]) -> list[tuple[int, lis
             s, x = a.scan(words)
             spans[i] += s
             items[i] |= x
-    return [(len(w), merged(s), sorted(x)) for w, s, x in zip(split, spans, items, strict=True)]
+    return [(len(w), merged(s), sorted(x - {None})) for w, s, x in zip(split, spans, items, strict=True)]
 
 
 def _find(names: list[str]):
@@ -247,11 +248,10 @@ def find_contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """One row per document: (doc_id, n_words, n_hit, n_items, items, contaminated)."""
-    small_batches(docs.sparkSession)
     names = build_blocks(benchmark, window, block_words, item_col, item_text_col)
     kind = dict(docs.dtypes)[id_col]
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _find(names), f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>"
+        in_parts(_find(names)), f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>"
     )
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
 
@@ -294,15 +294,14 @@ def remove_contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """docs without contaminated documents; from others, spans of at least `window` hit words are cut."""
-    small_batches(docs.sparkSession)
     names = build_blocks(benchmark, window, block_words, item_col, item_text_col)
-    return docs.mapInArrow(_clean(names, docs.columns.index(text_col), window, one_in), docs.schema)
+    return docs.mapInArrow(in_parts(_clean(names, docs.columns.index(text_col), window, one_in)), docs.schema)
 
 
 #: The counts of find_contamination in DuckDB, by windows as strings.
 ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark),
 i AS (SELECT item_id, t, len(t) AS n, least(len(t), 13) AS k, unnest(range(1, len(t) - least(len(t), 13) + 2)) AS s FROM b WHERE len(t) > 0),
 g AS (SELECT DISTINCT item_id, k, array_to_string(t[s:s + k - 1], ' ') AS win FROM i),
 ks AS (SELECT DISTINCT k FROM g),
@@ -310,7 +309,7 @@ p AS (SELECT doc_id, k, s, array_to_string(t[s:s + k - 1], ' ') AS win FROM
     (SELECT doc_id, t, k, unnest(range(1, len(t) - k + 2)) AS s FROM w, ks WHERE len(t) >= k)),
 m AS (SELECT doc_id, item_id, p.k AS k, s FROM p JOIN g ON p.win = g.win AND p.k = g.k),
 h AS (SELECT doc_id, CAST(count(DISTINCT x) AS BIGINT) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS x FROM (SELECT DISTINCT doc_id, k, s FROM m)) GROUP BY doc_id),
-o AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_items, string_agg(x, ',' ORDER BY x) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+o AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_items, string_agg(x, ',' ORDER BY x) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT w.doc_id AS doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
 FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN o ON o.doc_id = w.doc_id

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, small_batches
+from provspark.llm.common import in_parts, materialize
 
 RUN, LONG_WORDS = 3, 50
 
@@ -85,11 +85,10 @@ def _positions(run: int, long_words: int):
 
 def repeated_passages(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, start, lines) of every passage that occurs at an earlier place."""
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     out = f"doc_id {kind}, tag long, line long, at int, windows array<struct<start: int, lines: int, passage: binary>>"
-    rows = materialize(rows.mapInArrow(_positions(run, long_words), out), "lines")
+    rows = materialize(rows.mapInArrow(in_parts(_positions(run, long_words)), out), "lines")
     # both sides of each join are written tables, so that a hot line or passage can be split
     again = materialize(rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "lines")
     extended = rows.join(again, "line", "left_semi").select("doc_id", "tag", F.inline("windows"))
@@ -140,7 +139,7 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN, long_words: int = LON
     wide = docs.join(spans.hint("shuffle_hash"), on, "left").drop("__id", "__tag")
     text_at = docs.columns.index(text_col)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_removed long"
-    return wide.mapInArrow(_strip(text_at, len(docs.columns), None), out)
+    return wide.mapInArrow(in_parts(_strip(text_at, len(docs.columns), None)), out)
 
 
 def drop_repeated_lines(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

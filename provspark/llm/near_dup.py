@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import connected_components, materialize, small_batches
+from provspark.llm.common import connected_components, in_parts, materialize
 from provspark.llm.golay import neighbour_keys
 
 #: Most fingerprints that a worker compares with each other: at 8,192 of them in
@@ -231,10 +231,9 @@ def links(fps: DataFrame, scheme: Scheme, bucket: int | None = None) -> DataFram
 
 def _components(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tag, fp) of each row, where tag is a digest of its text, and (fp, component, component_id) of each fingerprint."""
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     prints = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    prints = materialize(prints.mapInArrow(_fingerprints(scheme), f"doc_id {kind}, tag long, fp binary"), "simhash")
+    prints = materialize(prints.mapInArrow(in_parts(_fingerprints(scheme)), f"doc_id {kind}, tag long, fp binary"), "simhash")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash")
     parts = connected_components(links(classes, scheme))
     # fingerprints without a link are components of their own

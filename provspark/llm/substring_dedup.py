@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.llm.bwt import least_owner, sorted_places
-from provspark.llm.common import materialize, small_batches
+from provspark.llm.common import in_parts, materialize
 
 LENGTH, GRAM = 50, 16
 BATCH_BYTES = 8 << 20
@@ -439,7 +439,6 @@ def _finish(with_text: bool):
 def remove_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, kept_text."""
     spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("text")).select(
         F.coalesce("__id", F.lit(int(NO_ID))).alias("doc_id"), F.xxhash64("text").alias("tag"), "text", F.col("__id")
@@ -460,7 +459,7 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = F
     places = found.repartition("batch").sortWithinPartitions("batch", "block").mapInArrow(_by_document, "doc_id long, tag long, places binary")
     places = materialize(places.join(copies.drop("copy"), ["doc_id", "tag"], "left_anti"), "substr").dropDuplicates(["doc_id", "tag"])
 
-    packed = rows.select("doc_id", "tag", "text").mapInArrow(_compress, "doc_id long, tag long, z binary")
+    packed = rows.select("doc_id", "tag", "text").mapInArrow(in_parts(_compress), "doc_id long, tag long, z binary")
     near = packed.join(places.hint("shuffle_hash"), ["doc_id", "tag"]).sortWithinPartitions("doc_id", "tag")
     strings = near.mapInArrow(_strings(n_blocks, length), ROWS)
     least = strings.repartition(by_block).sortWithinPartitions("block", "batch").mapInArrow(_search(length), ROWS)
@@ -472,5 +471,5 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = F
     n_bytes = sizes.select("doc_id", "tag", "n_bytes").distinct()
     every = every.join(n_bytes.hint("shuffle_hash"), ["doc_id", "tag"])
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    done = every.select("doc_id", "z", "spans", "copy", "n_bytes").mapInArrow(_finish(with_text), out)
+    done = every.select("doc_id", "z", "spans", "copy", "n_bytes").mapInArrow(in_parts(_finish(with_text)), out)
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))

@@ -25,17 +25,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, shared_dir, small_batches
+from provspark.llm.common import in_parts, materialize, shared_dir
 
 CACHE_SCHEMA = "digest binary, model binary, n_tokens long"
 #: Chunks whose counts a worker keeps; the memory of the memo is bounded by this.
 MEMO_CHUNKS = 400_000
 MARK = "▁"
-_loaded: dict[str, object] = {}
+_loaded: dict[bytes, object] = {}
 
 
 class ChunkCounts(dict):
@@ -58,10 +57,10 @@ class ChunkCounts(dict):
 class PieceCounter:
     """Token counts of a sentencepiece model, without begin or end."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         inner = any(MARK in p.lstrip(MARK) for p in pieces)
         # the split also needs that blanks are kept and that one is put in front
@@ -90,10 +89,10 @@ class PieceCounter:
 class JsonCounter:
     """Token counts of a tokenizers file, special strings taken as its default, none added."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_str(data.decode())
         self.model.no_truncation()
         self.model.no_padding()
 
@@ -101,15 +100,17 @@ class JsonCounter:
         return [len(x.ids) for x in self.model.encode_batch(texts, add_special_tokens=False)]
 
 
-def counter(path: str):
-    if path not in _loaded:
-        _loaded[path] = PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
-    return _loaded[path]
+def counter(digest: bytes, pieces: bool, data: bytes):
+    """The model of a worker, by the digest of its file; one is held."""
+    if digest not in _loaded:
+        _loaded.clear()
+        _loaded[digest] = PieceCounter(data) if pieces else JsonCounter(data)
+    return _loaded[digest]
 
 
-def _encode(name: str):
+def _encode(digest: bytes, pieces: bool, data):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = counter(SparkFiles.get(name))
+        model = counter(digest, pieces, data.value)
         for b in batches:
             counts = model.count(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
@@ -117,11 +118,6 @@ def _encode(name: str):
     return run
 
 
-def model_digest(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).digest()
-
-
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     """The stored counts; the folder may not exist yet."""
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
@@ -138,16 +134,15 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: (doc_id, n_bytes, n_tokens, over_limit).
 
-    model_path is a file on the driver; it is sent to executors with
-    SparkContext.addFile. cache is a folder in shared storage that later calls
+    model_path is a file on the driver, sent to executors as a broadcast. cache is a folder in shared storage that later calls
     use again; by default a new one in the session's shared folder.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    digest = model_digest(model_path)
+    with open(model_path, "rb") as f:
+        model = f.read()
+    digest = hashlib.sha256(model).digest()
     cache = cache or f"{shared_dir(spark)}/token-cache/{uuid.uuid4().hex}"
-    name = model_path.rsplit("/", 1)[-1]
-    spark.sparkContext.addFile(model_path)
+    sent = spark.sparkContext.broadcast(model)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
@@ -158,7 +153,7 @@ def count_tokens(
     misses = one.join(stored, "digest", "left_anti").withColumnRenamed("digest", "__digest")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
     texts = full.join(misses.hint("shuffle_hash"), same, "left_semi").select("digest", "text")
-    new = texts.mapInArrow(_encode(name), "digest binary, n_tokens long")
+    new = texts.mapInArrow(in_parts(_encode(digest, model_path.endswith(".model"), sent)), "digest binary, n_tokens long")
     new.select("digest", F.lit(digest).alias("model"), "n_tokens").write.mode("append").parquet(cache)
     # repeated rows with one id and text may be stored twice: one count is kept
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("model") == F.lit(digest)).select("digest", "n_tokens").dropDuplicates(["digest"])

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on small fixtures with all edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -127,7 +128,8 @@ def test_tokens(spark, docs, texts, nothing, tmp_path):
 
 @pytest.mark.parametrize("text", ["", " ", "  ", "a", " a", "a ", "a  b", "a   ", "\n", " \n b", "a\nb", "▁", "a▁ b", "<s>", "</s> <unk>", "é é\u00a0x", "  a  b  ", "🙂 x"])
 def test_tokens_by_chunk(text):
-    c = tokens.PieceCounter(queries.tokenizer_path("piece_bpe_32k.model"))
+    with open(queries.tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        c = tokens.PieceCounter(f.read())
     assert c.by_chunk
     assert c.count([text]) == [len(c.model.encode(text))]
 
@@ -261,7 +263,7 @@ def plain_contamination(texts, items, window=13):
         w = words(t)
         k = min(window, len(w))
         for s in range(len(w) - k + 1 if w else 0):
-            wins[tuple(w[s : s + k])].add(str(name))
+            wins[tuple(w[s : s + k])] |= set() if name is None else {str(name)}
     sizes = {len(w) for w in wins}
     out = {}
     for i, t, *_ in texts:
@@ -283,7 +285,7 @@ def test_decontamination(spark, docs, texts, nothing, block_words):
 
     rng = random.Random(8)
     long = [t for _, t, *_ in texts if t and len(t) > 400]
-    items = [(k, long[k][50:350]) for k in range(0, 12, 2)] + [(90, "the cat SAT"), (91, ""), (92, None), (93, "cat"), (94, long[3][:300]), (94, long[3][:300]), (95, prose(rng, 30))]
+    items = [(k, long[k][50:350]) for k in range(0, 12, 2)] + [(90, "the cat SAT"), (91, ""), (92, None), (93, "cat"), (94, long[3][:300]), (94, long[3][:300]), (95, prose(rng, 30)), (None, long[13][20:200]), (None, long[14])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.find_contamination(docs, bench, block_words=block_words)
     got = got.withColumn("sha", F.sha2(F.array_join(F.sort_array("items"), ","), 256)).collect()
@@ -476,6 +478,73 @@ def test_language_id(spark, nothing):
     assert language_id.identify_languages(nothing).count() == 0
 
 
+def test_many_languages(spark):
+    """More languages than a mask word has bits, each with letters of its own."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(70 * 8):
+        letters = [chr(0x4E00 + 3 * (i % 70) + k) for k in range(3)]
+        rows.append((i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(20)), f"l{i % 70:02}"))
+    got = rows_by_id(language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
+
+
+def plain_kept(rows):
+    """{id: kept} of (id, text, lang), from the rule's own words."""
+
+    def shares(text):
+        classes = Counter()
+        for c in text:
+            low = c.isascii()
+            classes[
+                "space" if c in " \t\n\x0b\x0c\r" else "symbol" if c in "#*$%&|<>" else "point" if c in ".,;:!?'\"()-" else "digit" if low and c.isdigit()
+                else ("other" if low else "wide") if not c.isalpha() or ord(c) >= 0x1FFF else "upper" if c.isupper() else "lower" if low else "wide lower"
+            ] += 1
+        words = Counter(w if w in quality_rules.WORDS else None for w in (re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in SPACE_WORD.findall(text)))
+        return classes, words
+
+    def failed(text):
+        words = SPACE_WORD.findall(text)
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        hit = {k for j in range(len(words) - 2) if windows[tuple(words[j : j + 3])] > 1 for k in range(j, j + 3)}
+        return len(words) < 50 or 2 * len(hit) > len(words)
+
+    def distance(p, q):
+        p, q = ({k: n / sum(x.values()) for k, n in x.items()} for x in (p, q))
+        mid = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p.keys() | q.keys()}
+        return (sum(n * math.log2(n / mid[k]) for x in (p, q) for k, n in x.items()) / 2) ** 0.5
+
+    refs = defaultdict(lambda: (Counter(), Counter()))
+    for _, t, lang in rows:
+        if not failed(t):
+            for total, own in zip(refs[lang], shares(t), strict=True):
+                total.update(own)
+    out = {}
+    for i, t, _ in rows:
+        c, w = shares(t)
+        near = any(
+            (c.total() < 200 or distance(c, rc) <= quality_rules.LIMIT_CLASS) and (w.total() < 200 or distance(w, rw) <= quality_rules.LIMIT_WORD) for rc, rw in refs.values()
+        )
+        out[i] = not failed(t) and near
+    return out
+
+
+def test_quality_kept(spark):
+    """Verdicts against plain distances, with more languages than 256."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.choice([30, 60, 90])), f"l{i}") for i in range(300)]
+    common = "the of and to a in is that le la de et".split()
+    for i in range(300, 360):
+        share = rng.random()
+        text = " ".join(rng.choice(common) if rng.random() < share else word(rng) + rng.choice(["", "#", "7", "É", "中"]) for _ in range(rng.randint(40, 400)))
+        rows.append((i, text, rng.choice(["a", None])))
+    rows += [(400 + i, " ".join("#$%"[i % 3] * rng.randint(1, 9) + str(k) for k in range(300)), "z") for i in range(2)]
+    got = rows_by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    want = plain_kept(rows)
+    assert {i: r["kept"] for i, r in got.items()} == want
+    assert 0 < sum(want.values()) < len(want)
+
+
 def test_weak_labels_recover_accuracies():
     rng = random.Random(6)
     right = [0.95, 0.9, 0.8, 0.7]
