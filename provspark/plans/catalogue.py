@@ -22,10 +22,12 @@ from provspark.plans.sql import (
     LABELLED,
     REACH,
     SYMBOL_COLUMNS,
+    _walk,
     attribution_sql,
     hits_with,
     origin_cte,
 )
+from provspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -332,8 +334,9 @@ def _(fx):
 
 
 def seeds_and_barrier(fx) -> tuple[DataFrame, DataFrame]:
-    h = hits(fx)
-    return h.where("kind = 'user'").select("fn_start").distinct(), h.where("kind = 'dep'").select("fn_start").distinct()
+    """Functions with an author location and with a dependency's, from one pass over the hits."""
+    marks = materialize(anchors.certain_and_boundary(hits(fx)).where("is_certain OR is_boundary"), "marks")
+    return marks.where("is_certain").select("fn_start"), marks.where("is_boundary").select("fn_start")
 
 
 def attributed(fx, depth: int | None = None) -> DataFrame:
@@ -777,11 +780,11 @@ def _(fx):
 
 @query(
     "collect_summary",
-    f"""{LAST} SELECT CAST(count(*) FILTER (WHERE dwarf_prec >= 90) AS BIGINT) AS high, CAST(count(*) FILTER (WHERE dwarf_prec < 90) AS BIGINT) AS low, min(recall) AS min_recall, max(recall) AS max_recall, median(recall) AS median_recall FROM last""",
+    f"""{LAST} SELECT CAST(count(*) FILTER (WHERE dwarf_prec = 100) AS BIGINT) AS high, CAST(count(*) FILTER (WHERE dwarf_prec < 100) AS BIGINT) AS low, min(recall) AS min_recall, max(recall) AS max_recall, median(recall) AS median_recall FROM last""",
 )
 def _(fx):
     p = c("dwarf_prec")
-    return last_results(fx).agg(F.count_if(p >= 90).alias("high"), F.count_if(p < 90).alias("low"), F.min("recall").alias("min_recall"), F.max("recall").alias("max_recall"), F.median("recall").alias("median_recall"))
+    return last_results(fx).agg(F.count_if(p == 100).alias("high"), F.count_if(p < 100).alias("low"), F.min("recall").alias("min_recall"), F.max("recall").alias("max_recall"), F.median("recall").alias("median_recall"))
 
 
 @query(
@@ -804,41 +807,72 @@ def _(fx):
 
 # ---- sweeps: one run, the parameter as a column -------------------------------------------------------------------
 
-SWEEP = " UNION ALL ".join(
-    f"SELECT CAST({d} AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS predicted, CAST(count(*) FILTER (WHERE kind = 'user') AS BIGINT) AS tp FROM (SELECT node, min(depth) AS depth FROM reach GROUP BY node) LEFT JOIN fx_truth ON fn_start = node WHERE depth BETWEEN 1 AND {d}"
-    for d in (1, 2, 3)
-)
+#: Depths of the sweeps, with the last level that counts.
+DEPTHS = (("1", 1), ("2", 2), ("unlimited", 1 << 30))
+BIN = "fn_start // 256 % 10"
+TRUTH_BINS = f"""dd(depth) AS (VALUES ('1'), ('2'), ('unlimited')),
+    tb AS (SELECT fn_start, kind, {BIN} AS bin FROM fx_truth), users AS (SELECT bin, count(*) AS n FROM tb WHERE kind = 'user' GROUP BY 1)"""
+
+
+def at_depths(found: DataFrame) -> DataFrame:
+    """(fn_start, depth) rows once for each name of a depth that reaches them."""
+    names = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("most")) for n, k in DEPTHS]), lambda x: x["most"] >= c("depth"))
+    return found.select("fn_start", F.explode(F.transform(names, lambda x: x["name"])).alias("depth"))
+
+
+def depth_names(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([(n,) for n, _ in DEPTHS], "depth string")
+
 
+def share_by_bin(fx, rows: DataFrame, name: str) -> DataFrame:
+    """(depth, name): the median over bins of the share of a bin's user functions that are in rows (fn_start, depth)."""
+    users = fx("fx_truth").where("kind = 'user'").select("fn_start", (F.floor(c("fn_start") / 256) % 10).alias("bin"))
+    base = users.groupBy("bin").agg(F.count("*").alias("n")).withColumn("depth", F.explode(F.array(*[F.lit(n) for n, _ in DEPTHS])))
+    hit = rows.join(users, "fn_start").groupBy("depth", "bin").agg(F.count("*").alias("k"))
+    return base.join(hit, ["depth", "bin"], "left").groupBy("depth").agg(F.median(F.coalesce("k", F.lit(0)) / c("n")).alias(name))
 
-@query("depth_sweep", f"{REACH(3, 'fx_truth')}, x AS ({SWEEP}) SELECT *, CAST(tp AS DOUBLE) / nullif(predicted, 0) AS tp_over_predicted FROM x")
+
+@query(
+    "depth_sweep",
+    f"""{REACH(None, 'fx_truth')}, {_walk('near', 'caller', 'callee', 2)}, {TRUTH_BINS},
+    r AS (SELECT node, '1' AS depth FROM near WHERE near.depth <= 1 UNION SELECT node, '2' FROM near UNION SELECT node, 'unlimited' FROM reach),
+    p AS (SELECT dd.depth, count(x.node) AS predicted, count(*) FILTER (WHERE kind = 'user') AS tp FROM dd LEFT JOIN (SELECT * FROM r WHERE node NOT IN (SELECT node FROM seeds)) x ON x.depth = dd.depth
+        LEFT JOIN tb ON fn_start = x.node GROUP BY 1),
+    g AS (SELECT dd.depth, users.bin, any_value(n) AS n, count(r.node) AS k FROM dd CROSS JOIN users JOIN tb ON tb.bin = users.bin AND kind = 'user' LEFT JOIN r ON r.node = fn_start AND r.depth = dd.depth GROUP BY 1, 2),
+    m AS (SELECT depth, median(CAST(k AS DOUBLE) / n) AS median_recall FROM g GROUP BY 1)
+    SELECT depth, CAST(predicted AS BIGINT) AS predicted, CAST(tp AS BIGINT) AS tp, CAST(tp AS DOUBLE) / nullif(predicted, 0) AS tp_over_predicted, median_recall FROM p JOIN m USING (depth)""",
+)
 def _(fx):
     certain, barrier = seeds_and_barrier(fx)
     edges = fx("fx_calls").select(c("caller").alias("src"), c("callee").alias("dst"))
     node = c("fn_start").alias("node")
-    reached = graph.bfs(edges, certain.select(node), barrier.select(node), fx("fx_functions").select(node), 3).where("depth > 0")
-    rows = reached.select(c("node").alias("fn_start"), F.explode(F.sequence("depth", F.lit(3))).alias("depth"))
-    x = truth.labelled(rows, fx("fx_truth")).groupBy("depth").agg(F.count("*").alias("predicted"), F.count_if(c("label") == "TP").alias("tp"))
-    return x.withColumn("tp_over_predicted", truth.ratio(c("tp"), c("predicted")))
+    reached = graph.bfs(edges, certain.select(node), barrier.select(node), fx("fx_functions").select(node)).select(c("node").alias("fn_start"), "depth")
+    inferred = truth.labelled(at_depths(reached.where("depth > 0")), fx("fx_truth")).groupBy("depth")
+    x = inferred.agg(F.count("*").alias("predicted"), F.count_if(c("label") == "TP").alias("tp"))
+    x = depth_names(reached).join(x, "depth", "left").fillna(0).join(share_by_bin(fx, at_depths(reached), "median_recall"), "depth")
+    return x.select("depth", "predicted", "tp", truth.ratio(c("tp"), c("predicted")).alias("tp_over_predicted"), "median_recall")
 
 
-MARGINAL = " UNION ALL ".join(
-    f"""SELECT CAST({d} AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS marginal, CAST(count(*) FILTER (WHERE kind = 'user') AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE kind IS NOT NULL AND kind <> 'user') AS BIGINT) AS fp,
-    CAST(count(*) FILTER (WHERE kind IS NULL) AS BIGINT) AS unknown FROM (SELECT node, min(depth) AS depth FROM back GROUP BY node) LEFT JOIN fx_truth ON fn_start = node
-    WHERE depth BETWEEN 1 AND {d} AND node NOT IN (SELECT fn_start FROM attributed WHERE attribution IN ('certain', 'inferred'))"""
-    for d in (1, 2)
+@query(
+    "backtrace_sweep",
+    f"""{attribution_sql(1)}, {BACKTRACE(None, False)}, {_walk('near', 'callee', 'caller', 2)}, {TRUTH_BINS},
+    r AS (SELECT node, '1' AS depth FROM near WHERE near.depth <= 1 UNION SELECT node, '2' FROM near UNION SELECT node, 'unlimited' FROM back),
+    x AS (SELECT * FROM r WHERE node NOT IN (SELECT node FROM seeds) AND node NOT IN (SELECT fn_start FROM attributed WHERE attribution IN ('certain', 'inferred'))),
+    p AS (SELECT dd.depth, count(x.node) AS marginal, count(*) FILTER (WHERE kind = 'user') AS tp, count(*) FILTER (WHERE kind <> 'user') AS fp, count(*) FILTER (WHERE x.node IS NOT NULL AND kind IS NULL) AS unknown
+        FROM dd LEFT JOIN x ON x.depth = dd.depth LEFT JOIN tb ON fn_start = x.node GROUP BY 1),
+    g AS (SELECT dd.depth, users.bin, any_value(n) AS n, count(x.node) AS k FROM dd CROSS JOIN users JOIN tb ON tb.bin = users.bin AND kind = 'user' LEFT JOIN x ON x.node = fn_start AND x.depth = dd.depth GROUP BY 1, 2),
+    m AS (SELECT depth, median(CAST(k AS DOUBLE) / n) AS median_gain FROM g GROUP BY 1)
+    SELECT depth, CAST(marginal AS BIGINT) AS marginal, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(unknown AS BIGINT) AS unknown, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision, median_gain FROM p JOIN m USING (depth)""",
 )
-
-
-@query("backtrace_sweep", f"{attribution_sql(1)}, {BACKTRACE(2, False)}, x AS ({MARGINAL}) SELECT *, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision FROM x")
 def _(fx):
     known = attributed(fx, 1).where("attribution IN ('certain', 'inferred')")
-    new = traced(fx, 2).join(known, "fn_start", "left_anti")
-    rows = new.select("fn_start", F.explode(F.sequence(c("depth").cast("int"), F.lit(2))).alias("depth"))
-    label = c("label")
+    new = materialize(traced(fx, None).join(known, "fn_start", "left_anti").select("fn_start", "depth"), "marginal")
+    rows, label = at_depths(new), c("label")
     x = truth.labelled(rows, fx("fx_truth")).groupBy("depth").agg(
         F.count("*").alias("marginal"), *[F.count_if(label == k).alias(n) for k, n in (("TP", "tp"), ("FP", "fp"), ("UNK", "unknown"))]
     )
-    return x.withColumn("precision", truth.ratio(c("tp"), c("tp") + c("fp")))
+    x = depth_names(rows).join(x, "depth", "left").fillna(0).join(share_by_bin(fx, rows, "median_gain"), "depth")
+    return x.select("depth", "marginal", "tp", "fp", "unknown", truth.ratio(c("tp"), c("tp") + c("fp")).alias("precision"), "median_gain")
 
 
 # ---- debug info, symbol tables and dumps --------------------------------------------------------------------------

@@ -33,8 +33,8 @@ def hits_with(*names: str) -> str:
 
 HITS = hits_with()
 
-SEEDS = """seeds AS (SELECT DISTINCT fn_start AS node FROM hits WHERE kind = 'user' AND struct_vaddr % 5 = 0 AND fn_start IN (SELECT fn_start FROM fx_functions)),
-    barrier AS (SELECT DISTINCT fn_start AS node FROM hits WHERE kind = 'dep' AND struct_vaddr % 5 = 0),
+SEEDS = """seeds AS (SELECT DISTINCT fn_start AS node FROM hits WHERE kind = 'user' AND fn_start IN (SELECT fn_start FROM fx_functions)),
+    barrier AS (SELECT DISTINCT fn_start AS node FROM hits WHERE kind = 'dep'),
     edges AS (SELECT caller, callee FROM fx_calls)"""
 _GRAPH = f"{hits_with('fx_calls', 'fx_truth')}, {SEEDS}"
 

@@ -2,12 +2,16 @@
 
 Every reader starts from files(), which is Spark's binaryFile source, so any
 store that Spark reads will do. A file that can't be decoded gives a row in
-errors() and no row elsewhere. binary_id is the path.
+errors() and no row elsewhere: of each table, a file gives all its rows or, where
+a decoder fails, none. binary_id is the path.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +37,8 @@ SCHEMAS = {
     "rodata": "binary_id string, page long, lo long, data binary",
     "errors": "binary_id string, error string",
 }
+#: What decoders raise on bytes that are not what they should be; BadElf is a ValueError.
+BAD = (ValueError, IndexError, KeyError, OverflowError, EOFError, RecursionError, struct.error, zlib.error)
 #: Longest string that a relocated slot may name.
 MAX_STRING = 512
 CHUNK = 1 << 16
@@ -90,27 +96,36 @@ def _rows(kind: str, e: elf.Elf) -> Iterator[tuple]:
 
 def _decoder(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in SCHEMAS[kind].split(", ")])
+        schema = _schema(SCHEMAS[kind])
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
                     e = elf.load(content.as_py())
-                except (elf.BadElf, ValueError, IndexError, OverflowError) as err:
                     if kind == "errors":
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([str(err)])], schema=schema)
+                        for other in ("relocs", "frames", "header_starts", "symbols", "dies"):
+                            for _ in _rows(other, e):
+                                pass
+                        continue
+                    # made whole before any of it is sent, so that no part of a bad file is
+                    found = list(_batches(path, _rows(kind, e), schema))
+                except BAD as err:
+                    if kind == "errors":
+                        yield _batch([(path, f"{type(err).__name__}: {err}")], schema)
                     continue
-                held = []
-                for row in _rows(kind, e):
-                    held.append((path, *row))
-                    if len(held) == CHUNK:
-                        yield _batch(held, schema)
-                        held = []
-                if held:
-                    yield _batch(held, schema)
+                yield from found
 
     return run
 
 
+def _schema(text: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in text.split(", ")])
+
+
+def _batches(path: str, rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, CHUNK)):
+        yield _batch([(path, *row) for row in part], schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -119,10 +134,7 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean
 
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, content) of files, one row each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":  # rows are whole files
-        spark.conf.set(key, "4")
+    """(path, content) of files, one row each; Spark bounds the bytes of a batch that a worker gets."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
@@ -149,7 +161,7 @@ def functions(binaries: DataFrame) -> DataFrame:
 
 
 INSTRUCTIONS = "binary_id string, fn_start long, ip long, length int, op string, target long, imm long"
-_INSTR = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in INSTRUCTIONS.split(", ")])
+_INSTR = _schema(INSTRUCTIONS)
 
 
 def _emit(path: str, start: int | None, code: bytes, base: int) -> Iterator[pa.RecordBatch]:
@@ -169,7 +181,7 @@ def _flat_decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             try:
                 s = elf.load(content.as_py()).section(".text")
-            except (elf.BadElf, ValueError, IndexError, OverflowError):
+            except BAD:
                 continue
             if s:
                 yield from _emit(path, None, s.data, s.vaddr)

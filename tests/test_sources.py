@@ -229,3 +229,38 @@ def test_recovered_types(spark, tmp_path):
     got = tables.recover_types(files, tables.flat_instructions(files), fns, known).collect()
     assert [(r["struct_name"], r["fields"], r["tier"]) for r in got] == [("Config", ["field_one"], "user")]
     assert {r["crate"] for r in tables.swept_crates(files).collect()} == {"rt", "core"}
+
+
+def test_damaged_files_give_errors_only(spark, tmp_path):
+    """Cut and changed images never end a run: a file gives rows or an error."""
+    import random
+
+    rng = random.Random(3)
+    good = program()
+    (tmp_path / "good.bin").write_bytes(good)
+    (tmp_path / "cut_heads.bin").write_bytes(good[:58] + struct.pack("<H", 8) + good[60:])
+    packed = bytearray(image({".text": (1, b"\xc3"), ".rodata": (9, b"\1\0\0\0" + b"\0" * 40)}))
+    at = len(packed) - 2 * 64 + 8  # flags of .rodata
+    packed[at : at + 8] = struct.pack("<Q", 0x800)
+    (tmp_path / "packed.bin").write_bytes(packed)
+    for i in range(40):
+        raw = bytearray(good[: rng.randint(64, len(good))] if i % 2 else good)
+        for _ in range(rng.randint(1, 30)):
+            raw[rng.randrange(16, len(raw))] = rng.randrange(256)
+        (tmp_path / f"x{i}.bin").write_bytes(raw)
+    files = tables.files(spark, str(tmp_path))
+    name = lambda r: r["binary_id"].rsplit("/", 1)[-1]
+    errors = {name(r) for r in tables.table(files, "errors").collect()}
+    assert {"cut_heads.bin", "packed.bin"} <= errors and "good.bin" not in errors
+    assert {name(r) for r in tables.table(files, "binaries").collect()} | errors == {p.name for p in tmp_path.iterdir()}
+    for kind in tables.SCHEMAS:
+        assert tables.table(files, kind).count() >= 0
+    assert {name(r) for r in tables.flat_instructions(files).collect()} >= {"good.bin"}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_demangle_lengths_beyond_the_name():
+    from provspark.sources.demangle import demangle
+
+    assert demangle("_ZN99999999999999999999aE") == "_ZN99999999999999999999aE"
+    assert demangle("_ZN3app9aE") == "_ZN3app9aE"
