@@ -239,7 +239,8 @@ def _components(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) ->
     # fingerprints without a link are components of their own
     of = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     of = materialize(of, "simhash")
-    names = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # as a table, so that the join with one hot component can be split
+    names = materialize(of.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash")
     return prints, of.join(names, "component").select("fp", "component", "component_id")
 
 
