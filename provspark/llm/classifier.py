@@ -49,6 +49,8 @@ from provspark.llm.common import in_parts, materialize
 
 PER_CLASS, PER_SIDE = 4_000, 6_000
 BINS = 1 << 18
+#: Rows whose gradient is worked out at once.
+BLOCK = 500
 ABSTAIN, ACCEPT, REJECT = 0, 1, 2
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word starts.
@@ -302,17 +304,23 @@ def train(rows: list[np.ndarray], target: np.ndarray, chosen: np.ndarray, prior:
     if not rows or not hard.any():
         return Scorer(np.zeros(BINS, np.float32), -20.0)
     a, b = max(hard.sum(), 1), max((~hard).sum(), 1)
-    number = np.cumsum(chosen) - 1
-    own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    both = np.concatenate(rows)
-    cols, value, width = number[both[:, 0].astype(np.int64)], both[:, 1], int(chosen.sum())
+    number, width = (np.cumsum(chosen) - 1).astype(np.int32), int(chosen.sum())
+    blocks = []  # of some rows each, so that what a step makes stays small
+    for k in range(0, len(rows), BLOCK):
+        part = rows[k : k + BLOCK]
+        own = np.repeat(np.arange(len(part), dtype=np.int32), [len(r) for r in part])
+        both = np.concatenate(part)
+        blocks.append((slice(k, k + len(part)), own, number[both[:, 0].astype(np.int32)], both[:, 1].copy()))
     w, bias = np.zeros(width), 0.0
     share = np.where(hard, 0.5 / a, 0.5 / b)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):  # full-batch Adam
-        logit = np.bincount(own, w[cols] * value, len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - target) * share
-        grad = np.append(np.bincount(cols, error[own] * value, width) + 2e-5 * w, error.sum())
+        grad = np.append(2e-5 * w, 0.0)
+        for at, own, cols, value in blocks:
+            logit = np.bincount(own, w[cols] * value, at.stop - at.start) + bias
+            error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - target[at]) * share[at]
+            grad[:-1] += np.bincount(cols, error[own] * value, width)
+            grad[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
@@ -430,7 +438,7 @@ def fit_scorer(docs: DataFrame, posts: dict, prior: float) -> Scorer:
     hard = sum(p > 0.5 for p in posts.values())
     chosen = choose(pos, neg, hard, len(posts) - hard)
     got = found.mapInArrow(_only(spark.sparkContext.broadcast(chosen)), schema).toArrow().sort_by("doc_id")  # so that reruns agree
-    rows = as_rows(got.column("bins"))
+    rows = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, 2) for x in got.column("bins")]
     return train(rows, np.array(got.column("post").to_pylist()), chosen, prior)
 
 
