@@ -71,35 +71,48 @@ def class_of_three(crate: Column, is_dep: Column, stem: Column | None = None) ->
     return F.when(crate.isNull(), "unk").when(own, "user").when(_in(crate, STD_WIDE) | is_dep, "nonuser").otherwise("user")
 
 
-def fp_category(path: Column) -> Column:
-    """Where a wrongly attributed function was declared, by the first rule that holds."""
-    has = path.contains
-    return (
-        F.when(has("/library/core/src/ops/function.rs"), "FnOnce/Fn/FnMut shim (core/ops/function.rs)")
-        .when(has("/library/core/src/slice/"), "core::slice generic")
-        .when(has("/library/core/src/iter/"), "core::iter generic")
-        .when(has("/library/core/"), "core (other)")
-        .when(has("/library/alloc/"), "alloc generic")
-        .when(has("/library/std/") & (has("once") | has("sync")), "Once/OnceLock/sync init shim")
-        .when(has("/library/std/"), "std generic")
-        .when(has("/rustc/") | has("/library/"), "std/core (other)")
-        .when(has("cargo/registry/src/") | has("/rust/deps/"), "dependency crate")
-        .otherwise("other")
-    )
+def is_author_crate(crate: Column, is_dep: Column) -> Column:
+    """Whether a symbol's strict leading crate (null: none) is neither the standard library's nor a dependency's."""
+    return crate.isNotNull() & ~_in(crate, [*STD_BASE, "test"]) & ~is_dep
+
+
+# Where a wrongly attributed function was declared, by the first row all of whose parts its path holds
+# (a part with a bar: one of its sides).
+FP_CATEGORIES = [
+    (["/library/core/src/ops/function.rs"], "FnOnce/Fn/FnMut shim (core/ops/function.rs)"),
+    (["/library/core/src/slice/"], "core::slice generic"),
+    (["/library/core/src/iter/"], "core::iter generic"),
+    (["/library/core/"], "core (other)"),
+    (["/library/alloc/"], "alloc generic"),
+    (["/library/std/", "once|sync"], "Once/OnceLock/sync init shim"),
+    (["/library/std/"], "std generic"),
+    (["/rustc/|/library/"], "std/core (other)"),
+    (["cargo/registry/src/|/rust/deps/"], "dependency crate"),
+]
+# Kinds of symbols by the first pattern found; the first one is that of futures and of what wraps them.
+FP_KINDS = [
+    ("future|poll_fn|PollFn|Pin<|Timeout|async|tokio::.*Future|Map.*Fut", "async-wrapper"),
+    ("rayon|ParallelIterator|bridge_producer", "parallel"),
+    ("core::iter::adapters|core::slice::sort", "iter/slice"),
+]
+
+
+def first_pattern(x: Column, rows: list[tuple[str, str]], otherwise: str) -> Column:
+    """Label of the first row (pattern, label) whose pattern x holds."""
+    out = F
+    for pattern, label in rows:
+        out = out.when(x.rlike(pattern), label)
+    return out.otherwise(otherwise)
 
 
-# Fixed pattern: symbols of futures and of what wraps them.
-ASYNC = "future|poll_fn|PollFn|Pin<|Timeout|async|tokio::.*Future|Map.*Fut"
+def fp_category(path: Column) -> Column:
+    # lookaheads: all parts must be found, in any order
+    rows = [("".join(f"(?=.*(?:{part}))" for part in parts).join(["(?s)^", ""]), label) for parts, label in FP_CATEGORIES]
+    return first_pattern(path, rows, "other")
 
 
 def fp_kind(symbol: Column) -> Column:
-    s = F.coalesce(symbol, F.lit(""))
-    return (
-        F.when(s.rlike(ASYNC), "async-wrapper")
-        .when(s.rlike("rayon|ParallelIterator|bridge_producer"), "parallel")
-        .when(s.rlike("core::iter::adapters|core::slice::sort"), "iter/slice")
-        .otherwise("genuine-dep/other")
-    )
+    return first_pattern(F.coalesce(symbol, F.lit("")), FP_KINDS, "genuine-dep/other")
 
 
 def provenance_category(label: Column, path: Column) -> Column:
@@ -179,6 +192,11 @@ def crate_idents(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_])([a-z_][a-z0-9_]{1,63})::"), 1)
 
 
+def leading_crate_at(text: Column) -> Column:
+    """The identifier of 2 to 64 bytes that a text begins with if ``::`` follows it; null without one."""
+    return _or_null(F.regexp_extract(text, "^([a-z_][a-z0-9_]{1,63})::", 1))
+
+
 def verdict_against(value: Column, baseline: Column, low_is_better: bool = False) -> Column:
     """CONFIRMS within two points of a baseline, else IMPROVES or SHIFTS; N/A without either."""
     diff = value - baseline

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,3 +104,37 @@ def detect_roots(paths: DataFrame, by: list[str], stem: str = "stem") -> DataFra
     every = paths.select(*by, stem).distinct().join(found, [*by, stem], "left")
     root = F.when(F.col("__n") == 1, F.col("__first")).when(F.col("__stem"), F.col(stem))
     return every.select(*by, stem, F.when(root.isNotNull(), "detected").otherwise("fallback").alias("outcome"), root.alias("root_crate"))
+
+
+def install_checks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., assertion, n, verdict) of installed programs, from hits (by.., fn_start, stem, path).
+
+    Without root crates nothing should be certain, with the binary's own crate
+    something; detected roots give the third count; the last one is of functions
+    that only dependencies' locations mark.
+    """
+    from provspark.functions.origin import origin
+
+    keys = list(dict.fromkeys([*by, "stem"]))
+    plain, rooted = origin(F.col("path"))["kind"], origin(F.col("path"), F.array("stem"))["kind"]
+    functions = rows.groupBy(*keys, "fn_start").agg(
+        F.bool_or(plain == USER).alias("__plain"), F.bool_or(rooted == USER).alias("__own"), F.bool_or(rooted == DEP).alias("__dep")
+    )
+    counts = functions.groupBy(*keys).agg(
+        F.count_if("__plain").alias("__n_plain"), F.count_if("__own").alias("__n_own"), F.count_if(F.col("__dep") & ~F.col("__own")).alias("__n_dep")
+    )
+    found = detect_roots(rows.select(*keys, "path").distinct(), [k for k in keys if k != "stem"])
+    x = counts.join(found, keys)
+    detected = (F.col("outcome") == "detected") & (F.col("root_crate") == F.col("stem"))
+    n_plain, n_own, n_dep = F.col("__n_plain"), F.col("__n_own"), F.col("__n_dep")
+
+    def row(name: str, n: Column, verdict: Column) -> Column:
+        return F.struct(F.lit(name).alias("assertion"), n.alias("n"), verdict.alias("verdict"))
+
+    checks = F.array(
+        row("reproduce", n_plain, F.when(n_plain == 0, "PASS").otherwise("WARN")),
+        row("fix", n_own, F.when(n_own > 0, "PASS").otherwise("FAIL")),
+        row("auto-detect", F.when(detected, n_own).otherwise(n_plain), F.when(detected, "PASS").otherwise("INFO")),
+        row("dep-isolation", n_dep, F.when(n_dep > 0, "PASS").otherwise("WARN")),
+    )
+    return x.select(*by, F.inline(checks))

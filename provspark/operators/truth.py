@@ -23,6 +23,18 @@ def labelled(attributed: DataFrame, truth: DataFrame, by: list[str] | None = Non
     return attributed.join(kinds, [*(by or []), "fn_start"], "left").withColumn("label", label(F.col("truth_kind")))
 
 
+def symbol_labelled(rows: DataFrame, classes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows with the columns of classes (by.., fn_start, class) and a label; a row without a class is unknown."""
+    label_of = F.when(F.col("class") == "user", "TP").when(F.col("class") == "nonuser", "FP").otherwise("UNK")
+    return rows.join(classes, [*(by or []), "fn_start"], "left").withColumn("label", label_of)
+
+
+def symbol_score(rows: DataFrame, by: list[str]) -> DataFrame:
+    """TP, FP, unknown and precision over known labels, by group."""
+    tp, fp, unk = (F.count_if(F.col("label") == x) for x in ("TP", "FP", "UNK"))
+    return rows.groupBy(*by).agg(tp.alias("tp"), fp.alias("fp"), unk.alias("unknown"), ratio(tp, tp + fp).alias("precision"))
+
+
 def bucket_metrics(rows: DataFrame, bucket: str = "attribution", by: list[str] | None = None) -> DataFrame:
     """Predicted, TP, FP and unknown by bucket, precision over known ones and TP over all predicted."""
     tp, fp, unk = (F.count_if(F.col("label") == x) for x in ("TP", "FP", "UNK"))

@@ -537,12 +537,43 @@ def _(fx):
     return disputed(fx).groupBy("stem").agg(*counts, truth.ratio(F.count_if(c("class") == "A"), F.count("*")).alias("a_share"))
 
 
+TIER_SYMBOLS = f"""{TIERS}, {sql_with('fx_symbols', 'fx_deps').removeprefix('WITH RECURSIVE ')}, {SYMBOL_COLUMNS},
+    k AS (SELECT fn_start, stem, CASE WHEN v2 IS NULL THEN 'UNK' WHEN v2 IN ({IN_WIDE}) OR v2 IN {DEP_NAMES} THEN 'FP' ELSE 'TP' END AS label FROM s),
+    j AS (SELECT fn_start, tier, anchor_count, stem, coalesce(label, 'UNK') AS label FROM tiers LEFT JOIN k USING (fn_start))"""
+SYMBOL_SCORE = """CAST(count(*) FILTER (WHERE label = 'TP') AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE label = 'FP') AS BIGINT) AS fp,
+    CAST(count(*) FILTER (WHERE label = 'UNK') AS BIGINT) AS unknown, CAST(count(*) FILTER (WHERE label = 'TP') AS DOUBLE) / nullif(count(*) FILTER (WHERE label <> 'UNK'), 0) AS precision"""
+
+
+def tier_symbols(fx) -> DataFrame:
+    """Tiers with the label that a function's symbol gives; functions without a symbol are unknown."""
+    crate = with_deps(fx, sym.leading_crate_inside(c("symbol")))
+    classes = crate.select("fn_start", "stem", sym.class_of_three(c("crate"), c("is_dep")).alias("class"))
+    return truth.symbol_labelled(tiers(fx).drop("fn_end", "anchor_files"), classes)
+
+
+@query(
+    "tier_symbols",
+    f"""{TIER_SYMBOLS} SELECT stem, tier, {SYMBOL_SCORE} FROM j GROUP BY stem, tier""",
+)
+def _(fx):
+    return truth.symbol_score(tier_symbols(fx), ["stem", "tier"])
+
+
+@query(
+    "symbol_ladder",
+    f"""{TIER_SYMBOLS}, x AS (SELECT min_anchors, CAST(count(*) FILTER (WHERE anchor_count >= min_anchors AND label = 'TP') AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE anchor_count >= min_anchors AND label = 'FP') AS BIGINT) AS fp,
+    count(*) FILTER (WHERE label = 'TP') AS base FROM j, (VALUES (CAST(1 AS BIGINT)), (2), (3)) v(min_anchors) GROUP BY min_anchors)
+    SELECT min_anchors, tp, fp, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / nullif(base, 0) AS recall_retained FROM x""",
+)
+def _(fx):
+    return truth.ladder(tier_symbols(fx))
+
+
 # ---- provenance study --------------------------------------------------------------------------------------------
 
-FP_CATEGORY = """CASE WHEN contains(path, '/library/core/src/ops/function.rs') THEN 'FnOnce/Fn/FnMut shim (core/ops/function.rs)' WHEN contains(path, '/library/core/src/slice/') THEN 'core::slice generic'
-    WHEN contains(path, '/library/core/src/iter/') THEN 'core::iter generic' WHEN contains(path, '/library/core/') THEN 'core (other)' WHEN contains(path, '/library/alloc/') THEN 'alloc generic'
-    WHEN contains(path, '/library/std/') AND (contains(path, 'once') OR contains(path, 'sync')) THEN 'Once/OnceLock/sync init shim' WHEN contains(path, '/library/std/') THEN 'std generic'
-    WHEN contains(path, '/rustc/') OR contains(path, '/library/') THEN 'std/core (other)' WHEN contains(path, 'cargo/registry/src/') OR contains(path, '/rust/deps/') THEN 'dependency crate' ELSE 'other' END"""
+FP_CATEGORY = f"""CASE {
+    " ".join("WHEN " + " AND ".join(f"regexp_matches(path, '{part}')" for part in parts) + f" THEN '{label}'" for parts, label in sym.FP_CATEGORIES)
+} ELSE 'other' END"""
 
 
 @query("fp_category", f"{sql_with('fx_truth')} SELECT {FP_CATEGORY} AS category, CAST(count(*) AS BIGINT) AS n FROM fx_truth WHERE kind <> 'user' GROUP BY 1")
@@ -633,6 +664,41 @@ def _(fx):
     return x.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "bare_anchor_precision_symbols",
+    f"""{HEADROOM}, {sql_with('fx_symbols', 'fx_deps').removeprefix('WITH RECURSIVE ')}, {SYMBOL_COLUMNS}, b AS (SELECT fn_start FROM ident UNION SELECT fn_start FROM bare)
+    SELECT CASE WHEN s.fn_start IS NULL THEN 'unmapped' WHEN v4 IS NOT NULL AND v4 NOT IN ({IN_BASE}, 'test') AND v4 NOT IN {DEP_NAMES} THEN 'user' ELSE 'nonuser' END AS category,
+    CAST(count(*) AS BIGINT) AS n FROM b LEFT JOIN s USING (fn_start) GROUP BY 1""",
+)
+def _(fx):
+    """By symbol names: a function whose symbol names no crate is not the author's."""
+    ident, path = bare_anchors(fx)
+    named = with_deps(fx, sym.leading_crate_strict(c("symbol"))).select("fn_start", sym.is_author_crate(c("crate"), c("is_dep")).alias("own"))
+    category = F.when(c("own").isNull(), "unmapped").when(c("own"), "user").otherwise("nonuser")
+    return ident.union(path).distinct().join(named, "fn_start", "left").groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+
+
+# ---- roots of installed programs ---------------------------------------------------------------------------------
+
+INSTALLED = f"""{hits_with()}, x AS (SELECT fn_start, 'dep-c' || CAST(fn_start // 256 % 30 AS VARCHAR) AS stem, file, kind FROM hits JOIN fx_sites USING (struct_vaddr)),
+    y AS (SELECT *, CASE WHEN kind = 'dep' AND regexp_matches(file, '(cargo/registry/src/[^/]*/|crates\\.io/)' || stem || '-[0-9][^-]*/') THEN 'user' ELSE kind END AS rooted FROM x),
+    f AS (SELECT stem, fn_start, bool_or(kind = 'user') AS plain, bool_or(rooted = 'user') AS own, bool_or(rooted = 'dep') AND NOT bool_or(rooted = 'user') AS dep_only FROM y GROUP BY ALL),
+    d AS (SELECT stem, CASE WHEN bool_or(regexp_matches(file, 'cargo/registry/src/[^/]*/' || stem || '-[0-9]')) THEN 'detected' ELSE 'fallback' END AS outcome FROM x GROUP BY 1),
+    g AS (SELECT stem, outcome, count(*) FILTER (WHERE plain) AS n_plain, count(*) FILTER (WHERE own) AS n_rooted, count(*) FILTER (WHERE dep_only) AS n_dep_only FROM f JOIN d USING (stem) GROUP BY 1, 2)"""
+
+
+@query(
+    "install_checks",
+    f"""{INSTALLED} SELECT stem, 'reproduce' AS assertion, CAST(n_plain AS BIGINT) AS n, CASE WHEN n_plain = 0 THEN 'PASS' ELSE 'WARN' END AS verdict FROM g
+    UNION ALL SELECT stem, 'fix', n_rooted, CASE WHEN n_rooted > 0 THEN 'PASS' ELSE 'FAIL' END FROM g UNION ALL SELECT stem, 'auto-detect', CASE WHEN outcome = 'detected' THEN n_rooted ELSE n_plain END,
+    CASE WHEN outcome = 'detected' THEN 'PASS' ELSE 'INFO' END FROM g UNION ALL SELECT stem, 'dep-isolation', n_dep_only, CASE WHEN n_dep_only > 0 THEN 'PASS' ELSE 'WARN' END FROM g""",
+)
+def _(fx):
+    stem = F.concat(F.lit("dep-c"), (F.floor(c("fn_start") / 256) % 30).cast("string"))
+    named = hits(fx).select("fn_start", "struct_vaddr").join(fx("fx_sites").select("struct_vaddr", c("file").alias("path")), "struct_vaddr")
+    return anchors.install_checks(named.withColumn("stem", stem), ["stem"])
+
+
 # ---- identifiers and types ---------------------------------------------------------------------------------------
 
 IDENT_TEXT = "concat('use ', replace(replace(url, '://', '::'), '.', '::'), ' x', CAST(page_id AS {str}), '::Foo::bar::baz')"

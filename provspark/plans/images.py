@@ -252,6 +252,42 @@ def _(fx):
     return tables.source_strings(location_images(fx))
 
 
+def anchor_image(part: pd.DataFrame) -> bytes:
+    """Each function loads a path's or a crate's text, the slot of a path, or the byte behind a text's first."""
+    part = part.sort_values("p_partkey")
+    ro, data, text = bytearray(SLOT * PARTS), bytearray(24 * PARTS), bytearray(b"\x90" * (16 * PARTS))
+    relocs, ranges = [], []
+    for key, size in numbers(part, "p_partkey", "p_size"):
+        i, start = key % PARTS, TEXT + 16 * (key % PARTS)
+        raw = [f"src/m{size}.rs", f"app_{size}::run", "core::fmt::x", "/home/u/.cargo/registry/src/idx/dep-c-1.0.0/src/lib.rs", "dep_c::y::z"][key % 5].encode()
+        ro[SLOT * i : SLOT * i + len(raw)] = raw
+        if raw.endswith(b".rs"):
+            relocs.append((DATA + 24 * i, 8, RODATA + SLOT * i))
+            data[24 * i + 8 : 24 * i + 24] = len(raw).to_bytes(8, "little") + (size % 2).to_bytes(4, "little") + (1).to_bytes(4, "little")
+        code = im.load_address(start, [RODATA + SLOT * i, DATA + 24 * i, RODATA + SLOT * i + 1][size % 3]) + b"\xc3"
+        text[16 * i : 16 * i + len(code)] = code
+        ranges.append((start, start + 16))
+    return im.image(
+        {
+            ".text": (TEXT, bytes(text)),
+            ".rodata": (RODATA, bytes(ro)),
+            ".data.rel.ro": (DATA, bytes(data)),
+            ".rela.dyn": (RELA, im.relocation_table(relocs)),
+            ".eh_frame": (FRAMES, im.frame_section(FRAMES, ranges)),
+        }
+    )
+
+
+@query(
+    "image_bare_anchors",
+    f"""SELECT CAST(p_partkey // {PARTS} AS VARCHAR) AS binary_id, CAST({TEXT} + 16 * (p_partkey % {PARTS}) AS BIGINT) AS fn_start, CASE p_partkey % 5 WHEN 0 THEN 'path' ELSE 'crate' END AS anchor
+    FROM part WHERE (p_partkey % 5 = 0 AND (p_size % 3 = 0 OR p_size % 6 = 4)) OR (p_partkey % 5 = 1 AND p_size % 3 = 0)""",
+)
+def _(fx):
+    files = built(fx("part").select("p_partkey", "p_size"), "p_partkey", PARTS, anchor_image)
+    return tables.bare_anchors(files, tables.references(tables.instructions(files)), tables.locations(files))
+
+
 def debug_image(part: pd.DataFrame) -> bytes:
     rows = [(TEXT + 16 * p, i - 1 if i % 3 else None) for i, (p,) in enumerate(numbers(part.sort_values("p_partkey"), "p_partkey"))]
     info, abbrev = im.debug_sections(rows)

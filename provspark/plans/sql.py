@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from provspark.functions.symbols import FP_KINDS
 from provspark.plans.fixtures import sql_with
 
 
@@ -65,10 +66,10 @@ def attribution_sql(depth: int | None) -> str:
 LABELLED = """labelled AS (SELECT a.*, CASE WHEN t.kind IS NULL THEN 'UNK' WHEN t.kind = 'user' THEN 'TP' ELSE 'FP' END AS label FROM attributed a LEFT JOIN fx_truth t USING (fn_start))"""
 
 _LEAD = "nullif(regexp_extract({x}, '^<*([a-zA-Z_][a-zA-Z0-9_]*)(::|<| )', 1), '')"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(symbol, '{pattern}') THEN '{label}'" for pattern, label in FP_KINDS) + " ELSE 'genuine-dep/other' END"
 SYMBOL_COLUMNS = f"""s1 AS (SELECT *, coalesce(nullif(regexp_extract(symbol, '__rust_begin_short_backtrace::<(.+)', 1), ''), symbol) AS inner1,
         ltrim(regexp_replace(regexp_replace(symbol, '^[<&*( \\[]+', ''), '^dyn ', '')) AS bare FROM fx_symbols),
     s2 AS (SELECT *, CASE WHEN contains(inner1, 'LocalKey') THEN coalesce(nullif(regexp_extract(inner1, '::with::<(.+)', 1), ''), inner1) ELSE inner1 END AS inner2,
         CASE WHEN contains(bare, '::') THEN split_part(bare, '::', 1) END AS head FROM s1),
     s AS (SELECT *, {_LEAD.format(x='symbol')} AS v1, {_LEAD.format(x='inner1')} AS v2, {_LEAD.format(x='inner2')} AS v3, CASE WHEN regexp_matches(head, '^[a-z_][a-z0-9_]+$') THEN head END AS v4,
-        CASE WHEN regexp_matches(symbol, 'future|poll_fn|PollFn|Pin<|Timeout|async|tokio::.*Future|Map.*Fut') THEN 'async-wrapper' WHEN regexp_matches(symbol, 'rayon|ParallelIterator|bridge_producer') THEN 'parallel'
-        WHEN regexp_matches(symbol, 'core::iter::adapters|core::slice::sort') THEN 'iter/slice' ELSE 'genuine-dep/other' END AS kind FROM s2)"""
+        {_KIND} AS kind FROM s2)"""

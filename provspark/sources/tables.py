@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions.origin import origin, registry_crate_dir
-from provspark.functions.symbols import crate_idents, looks_like_ident
+from provspark.functions.symbols import STD_BASE, crate_idents, leading_crate_at, looks_like_ident, normal_crate
 from provspark.operators.anchors import detect_roots, fallback_ranges, first_slot_wins, location_hits, rebuild_locations
-from provspark.operators.joins import asof_containing
+from provspark.operators.joins import asof_containing, range_join
 from provspark.operators.type_names import load_constant_pairs, runs, type_names
 from provspark.sources import dwarf, elf, x86
 
@@ -307,6 +307,46 @@ def swept_crates(binaries: DataFrame) -> DataFrame:
     return table(binaries, "rodata").select("binary_id", F.explode(crate_idents(text)).alias("crate")).distinct()
 
 
+def named_paths(binaries: DataFrame) -> DataFrame:
+    """(binary_id, slot, vaddr, kind, crate) of relocated slots that name .rs paths; the first relocation of a slot counts."""
+    first = table(binaries, "relocs").groupBy("binary_id", "offset").agg(F.min("reloc_idx").alias("reloc_idx"))
+    slots = table(binaries, "slots").where("content IS NOT NULL").join(first, ["binary_id", "offset", "reloc_idx"], "left_semi")
+    text = F.col("content").cast("string")
+    o = origin(text)
+    good = slots.where(F.is_valid_utf8(text) & text.endswith(".rs"))
+    return good.select("binary_id", F.col("offset").alias("slot"), F.col("addend").alias("vaddr"), o["kind"].alias("kind"), o["crate"].alias("crate"))
+
+
+def author_crates(binaries: DataFrame, paths: DataFrame) -> DataFrame:
+    """(binary_id, crate): identifiers swept from .rodata that neither the standard library nor a dependency in paths has."""
+    deps = paths.where("kind = 'dep'").select("binary_id", normal_crate(F.col("crate")).alias("crate"))
+    return swept_crates(binaries).where(~F.col("crate").isin(*STD_BASE, "test")).join(deps, ["binary_id", "crate"], "left_anti")
+
+
+def bare_anchors(binaries: DataFrame, refs: DataFrame, locs: DataFrame) -> DataFrame:
+    """Distinct (binary_id, fn_start, anchor) of references (binary_id, fn_start, ea) that are no locations.
+
+    path: to an author's .rs path, or into a slot that names one and is not a
+    location; crate: elsewhere to text that begins with an author's crate.
+    """
+    paths = named_paths(binaries)
+    own = paths.where("kind = 'user'")
+    places = locs.where("kind = 'user'").select("binary_id", F.col("struct_vaddr").alias("slot"))
+    slots = own.join(places, ["binary_id", "slot"], "left_anti").select("binary_id", "slot", (F.col("slot") + 16).alias("slot_end")).distinct()
+    key = ["binary_id", "fn_start", "ea"]
+    at_slot = range_join(refs, slots, "ea", "slot", "slot_end", by=["binary_id"], bits=5).select(*key)
+    at_path = refs.join(own.select("binary_id", F.col("vaddr").alias("ea")), ["binary_id", "ea"], "left_semi").select(*key)
+    by_path = at_slot.union(at_path).distinct()
+    rest = refs.select(*key).distinct().join(by_path, key, "left_anti").withColumn("page", F.shiftright("ea", PAGE_BITS))
+    near = rest.join(table(binaries, "rodata"), ["binary_id", "page"]).where("ea >= lo")
+    # the page's data begin one byte before lo; a margin holds the longest identifier
+    here = F.decode(F.col("data").substr((F.col("ea") - F.col("lo") + 2).cast("int"), F.lit(66)), "ISO-8859-1")
+    named = near.select("binary_id", "fn_start", leading_crate_at(here).alias("crate")).where("crate IS NOT NULL")
+    by_crate = named.join(author_crates(binaries, paths), ["binary_id", "crate"], "left_semi")
+    marked = by_path.select("binary_id", "fn_start", F.lit("path").alias("anchor"))
+    return marked.union(by_crate.select("binary_id", "fn_start", F.lit("crate").alias("anchor"))).distinct()
+
+
 def recover_types(binaries: DataFrame, code: DataFrame, fns: DataFrame, attributed: DataFrame) -> DataFrame:
     """(binary_id, struct_name, fields, tier, fn_start) from identifiers that functions load; code is flat_instructions()."""
     by = ["binary_id"]
