@@ -8,7 +8,7 @@ from provspark.plans import catalogue, images
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "origin_classify root_autodetect location_hits tier_functions json_contract function_asof function_interval attribution_depth1 backtrace_d2 precision_rollup leading_crate_v4 disputed_class rule_tradeoff ident_sweep lea_mov_pairs bench_summary depth_sweep backtrace_sweep image_symbols image_fallback image_call_edges image_debug_entries image_bare_anchors tier_symbols symbol_ladder bare_anchor_precision bare_anchor_precision_symbols install_checks fp_category fp_kind subcat".split()
+SOME = "origin_classify root_autodetect location_hits tier_functions json_contract function_asof function_interval attribution_depth1 backtrace_d2 precision_rollup leading_crate_v4 disputed_class rule_tradeoff ident_sweep lea_mov_pairs bench_summary depth_sweep backtrace_sweep image_symbols image_fallback image_call_edges image_debug_entries image_bare_anchors tier_symbols symbol_ladder bare_anchor_precision bare_anchor_precision_symbols install_checks fp_category fp_kind subcat collect_summary".split()
 
 
 def test_names():
