@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from provspark.plans.fixtures import sql_with, view
 from provspark.plans.sql import SITE_KIND
-from provspark.session import materialize
+from provspark.session import materialize_large
 from provspark.sources import image as im
 from provspark.sources import tables
 
@@ -40,14 +40,16 @@ def query(name: str, sql: str):
     return add
 
 
-def built(rows: DataFrame, key: str, size: int, make: Callable[[pd.DataFrame], bytes]) -> DataFrame:
-    """(path, content): an image of the rows of each `size` keys."""
+def built(rows: DataFrame, key: str, size: int, make: Callable[[pd.DataFrame], bytes | list[bytes]]) -> DataFrame:
+    """(path, content): an image, or several under one path, of the rows of each `size` keys."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [str(int(part["__b"].iloc[0]))], "content": [make(part)]})
+        made = make(part)
+        made = made if isinstance(made, list) else [made]
+        return pd.DataFrame({"path": [str(int(part["__b"].iloc[0]))] * len(made), "content": made})
 
     dealt = rows.withColumn("__b", F.floor(c(key) / size).cast("long"))
-    return materialize(dealt.groupBy("__b").applyInPandas(one, "path string, content binary"), "images")
+    return materialize_large(dealt.groupBy("__b").applyInPandas(one, "path string, content binary"), "images")
 
 
 def numbers(part: pd.DataFrame, *columns: str) -> list[tuple[int, ...]]:
@@ -179,6 +181,16 @@ def _(fx):
 # ---- code --------------------------------------------------------------------------------------------------------
 
 
+#: Rows whose code, 12 bytes each and a return, a function has room for.
+FIT = (ROOM - 1) // 12
+
+
+def code_images_of(part: pd.DataFrame) -> list[bytes]:
+    """One image, and more where a function has rows for more code than its room."""
+    turn = part.groupby("l_partkey").cumcount() // FIT
+    return [code_image(rows) for _, rows in part.groupby(turn)]
+
+
 def code_image(part: pd.DataFrame) -> bytes:
     """Each function loads the address of a location and calls a function of its binary, for every row; line 7 calls into a function's middle."""
     first = int(part["l_partkey"].iloc[0]) // PARTS * PARTS
@@ -196,7 +208,7 @@ def code_image(part: pd.DataFrame) -> bytes:
 
 
 def code_images(fx) -> DataFrame:
-    return built(fx("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), "l_partkey", PARTS, code_image)
+    return built(fx("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), "l_partkey", PARTS, code_images_of)
 
 
 CODE = f"""l AS (SELECT CAST(l_partkey // {PARTS} AS VARCHAR) AS binary_id, CAST({TEXT} + {ROOM} * (l_partkey % {PARTS}) AS BIGINT) AS fn_start, CAST({DATA} + 24 * l_orderkey + l_linenumber AS BIGINT) AS ea,

@@ -52,22 +52,32 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
 
-def stored(df: DataFrame, name: str = "step") -> tuple[str, DataFrame]:
-    """df written as Parquet to the shared folder: (its path, the table read back)."""
+def stored(df: DataFrame, name: str = "step", **options: str) -> tuple[str, DataFrame]:
+    """df written as Parquet to the shared folder: (its path, the table read back); options of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     if _scopes:
         _scopes[-1].append((spark, path))
     return path, spark.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and gives the planner true sizes.
     """
-    return stored(df, name)[1]
+    return stored(df, name, **options)[1]
+
+
+def materialize_large(df: DataFrame, name: str = "step") -> DataFrame:
+    """materialize() of rows that are megabytes each.
+
+    Spark reads a row group in batches of up to 4,096 rows and the writer looks
+    at sizes after 100 rows, so row groups and pages are held to a few rows.
+    """
+    few = {"parquet.block.row.count.limit": "8", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+    return materialize(df, name, **few)
 
 
 def discard(spark: SparkSession, path: str) -> None:

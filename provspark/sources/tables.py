@@ -11,7 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +35,7 @@ SCHEMAS = {
     "slots": "binary_id string, reloc_idx int, offset long, addend long, stored_len long, line long, col long, content binary",
     "text": "binary_id string, fn_start long, fn_end long, code binary",
     "rodata": "binary_id string, page long, lo long, data binary",
+    "fallback": "binary_id string, fn_start long, fn_end long",
     "errors": "binary_id string, error string",
 }
 #: What decoders raise on bytes that are not what they should be; BadElf is a ValueError.
@@ -58,6 +59,24 @@ def _slots(e: elf.Elf) -> Iterator[tuple]:
             yield i, offset, addend, n, line, col, ro.at(addend, n) if n is not None and 0 < n < MAX_STRING else None
 
 
+def _read(what, e: elf.Elf) -> list:
+    """A decoder's rows; none where it fails."""
+    try:
+        return what(e)
+    except BAD:
+        return []
+
+
+def _fallback(e: elf.Elf) -> Iterator[tuple[int, int]]:
+    """Without frame descriptions: the search table, call targets and the start of .text, each up to the next."""
+    s = e.section(".text")
+    if s and not _read(elf.frame_ranges, e):
+        end = s.vaddr + len(s.data)
+        calls = (target for _, _, op, target, _ in x86.decode(s.data, s.vaddr) if op == "call")
+        starts = sorted({s.vaddr, *(x for x in chain(_read(elf.header_starts, e), calls) if s.vaddr <= x < end)})
+        yield from ((a, b) for a, b in zip(starts, [*starts[1:], end], strict=True) if b > a)
+
+
 def _rows(kind: str, e: elf.Elf) -> Iterator[tuple]:
     if kind == "binaries":
         yield "x86_64", e.is_pie, e.warnings
@@ -75,6 +94,8 @@ def _rows(kind: str, e: elf.Elf) -> Iterator[tuple]:
         yield from dwarf.subprograms(e)
     elif kind == "slots":
         yield from _slots(e)
+    elif kind == "fallback":
+        yield from _fallback(e)
     elif kind == "rodata":
         s = e.section(".rodata")
         for page in range(s.vaddr >> PAGE_BITS, ((s.vaddr + len(s.data) - 1) >> PAGE_BITS) + 1) if s and s.data else ():
@@ -147,17 +168,11 @@ def functions(binaries: DataFrame) -> DataFrame:
     """(binary_id, fn_start, fn_end, map_source); of equal starts the last description stays.
 
     Binaries without frame descriptions get ranges from the search table, call
-    targets and the start of .text.
+    targets and the start of .text; which those are is seen where a file is
+    decoded, so no file's bytes are joined.
     """
     frames = table(binaries, "frames").groupBy("binary_id", "fn_start").agg(F.max_by("fn_end", "fde_idx").alias("fn_end"))
-    text = table(binaries, "sections").where("name = '.text'").select("binary_id", F.col("vaddr").alias("lo"), (F.col("vaddr") + F.col("size")).alias("text_end"))
-    without = text.join(frames.select("binary_id").distinct(), "binary_id", "left_anti")
-    bare = binaries.join(without.select(F.col("binary_id").alias("path")), "path", "left_semi")
-    calls = bare.mapInArrow(_flat_decoder, INSTRUCTIONS).where("op = 'call'").select("binary_id", F.col("target").alias("fn_start"))
-    starts = table(bare, "header_starts").unionByName(calls).join(without, "binary_id").where("fn_start >= lo AND fn_start < text_end").select("binary_id", "fn_start")
-    starts = starts.union(without.select("binary_id", "lo"))
-    rest = fallback_ranges(starts, without.select("binary_id", "text_end"), ["binary_id"])
-    return frames.select("*", F.lit("eh_frame").alias("map_source")).union(rest.select("*", F.lit("fallback").alias("map_source")))
+    return frames.select("*", F.lit("eh_frame").alias("map_source")).union(table(binaries, "fallback").select("*", F.lit("fallback").alias("map_source")))
 
 
 INSTRUCTIONS = "binary_id string, fn_start long, ip long, length int, op string, target long, imm long"
@@ -245,9 +260,14 @@ def references(code: DataFrame) -> DataFrame:
 
 
 def call_edges(code: DataFrame, fns: DataFrame) -> DataFrame:
-    """(binary_id, caller, callee) of direct calls to function starts."""
+    """(binary_id, caller, callee) of direct calls to function starts.
+
+    Both sides are shuffled: a planner that goes by the size of the compressed
+    binaries takes the functions for a small table and sends them to the driver.
+    """
+    starts = fns.select("binary_id", F.col("fn_start").alias("callee")).hint("merge")
     edges = code.where("op = 'call'").select("binary_id", F.col("fn_start").alias("caller"), F.col("target").alias("callee")).distinct()
-    return edges.join(fns.select("binary_id", F.col("fn_start").alias("callee")), ["binary_id", "callee"], "left_semi").select("binary_id", "caller", "callee")
+    return edges.join(starts, ["binary_id", "callee"], "left_semi").select("binary_id", "caller", "callee")
 
 
 def truth_from_debug_info(binaries: DataFrame, fns: DataFrame) -> DataFrame:
