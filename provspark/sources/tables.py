@@ -224,11 +224,14 @@ def instructions(binaries: DataFrame, partitions: int | None = None) -> DataFram
 
 def source_strings(binaries: DataFrame) -> DataFrame:
     """(binary_id, vaddr, content) of embedded .rs paths; the first slot of an address decides, before it is checked."""
-    slots = table(binaries, "slots")
-    first = first_slot_wins(slots.select("binary_id", "reloc_idx", "offset", "addend"), ["binary_id"])
-    text = slots.join(first.select("binary_id", "addend", "reloc_idx"), ["binary_id", "addend", "reloc_idx"])
-    good = text.where("content IS NOT NULL").where(F.is_valid_utf8(F.col("content").cast("string")))
-    return good.select("binary_id", F.col("addend").alias("vaddr"), F.col("content").cast("string").alias("content")).where(F.col("content").endswith(".rs"))
+    first = table(binaries, "slots").groupBy("binary_id", "addend").agg(F.min_by("content", "reloc_idx").alias("content"))
+    return _rust_paths(first).select("binary_id", F.col("addend").alias("vaddr"), "content")
+
+
+def _rust_paths(rows: DataFrame) -> DataFrame:
+    """Rows whose content is UTF-8 and ends in .rs, as text."""
+    text = F.col("content").cast("string")
+    return rows.where("content IS NOT NULL").where(F.is_valid_utf8(text)).withColumn("content", text).where(F.col("content").endswith(".rs"))
 
 
 def locations(binaries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
