@@ -21,9 +21,14 @@ def first_slot_wins(relocs: DataFrame, by: list[str] | None = None) -> DataFrame
 def rebuild_locations(slots: DataFrame, strings: DataFrame, by: list[str] | None = None) -> DataFrame:
     """slots (by.., offset, addend, stored_len, line, col) that point at a string and hold its length and a sane line."""
     by = by or []
-    joined = slots.join(strings.withColumnRenamed("vaddr", "addend"), [*by, "addend"])
+    return sane_locations(slots.join(strings.withColumnRenamed("vaddr", "addend"), [*by, "addend"]), by)
+
+
+def sane_locations(named: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """rebuild_locations() of slots that have the string they point at as content."""
+    by = by or []
     valid = (F.col("stored_len") == F.octet_length("content")) & F.col("line").between(1, 200_000)
-    return joined.where(valid).select(*by, F.col("offset").alias("struct_vaddr"), F.col("content").alias("file"), F.col("addend").alias("file_vaddr"), "line", "col")
+    return named.where(valid).select(*by, F.col("offset").alias("struct_vaddr"), F.col("content").alias("file"), F.col("addend").alias("file_vaddr"), "line", "col")
 
 
 def location_hits(refs: DataFrame, locations: DataFrame, by: list[str] | None = None) -> DataFrame:

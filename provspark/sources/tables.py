@@ -15,11 +15,12 @@ from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provspark.functions.origin import origin, registry_crate_dir
 from provspark.functions.symbols import STD_BASE, crate_idents, leading_crate_at, looks_like_ident, normal_crate
-from provspark.operators.anchors import detect_roots, fallback_ranges, first_slot_wins, location_hits, rebuild_locations
+from provspark.operators.anchors import detect_roots, location_hits, sane_locations
 from provspark.operators.joins import asof_containing, range_join
 from provspark.operators.type_names import load_constant_pairs, runs, type_names
 from provspark.sources import dwarf, elf, x86
@@ -235,9 +236,12 @@ def _rust_paths(rows: DataFrame) -> DataFrame:
 
 
 def locations(binaries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(binary_id, struct_vaddr, file, file_vaddr, line, col, origin, kind); roots (binary_id, root_crate)."""
-    slots = table(binaries, "slots").drop("content")
-    found = rebuild_locations(slots, source_strings(binaries), ["binary_id"])
+    """(binary_id, struct_vaddr, file, file_vaddr, line, col, origin, kind); roots (binary_id, root_crate).
+
+    Each slot gets the text that the first slot of its address has, in one pass over the slots.
+    """
+    first = F.first("content").over(W.partitionBy("binary_id", "addend").orderBy("reloc_idx"))
+    found = sane_locations(_rust_paths(table(binaries, "slots").withColumn("content", first)), ["binary_id"])
     if roots is not None:
         named = roots.where("root_crate IS NOT NULL").groupBy("binary_id").agg(F.collect_set("root_crate").alias("__roots"))
         found = found.join(named, "binary_id", "left")
