@@ -180,16 +180,9 @@ INSTRUCTIONS = "binary_id string, fn_start long, ip long, length int, op string,
 _INSTR = _schema(INSTRUCTIONS)
 
 
-def _emit(path: str, start: int | None, code: bytes, base: int) -> Iterator[pa.RecordBatch]:
-    held = []
+def _emit(path: str, start: int | None, code: bytes, base: int) -> Iterator[tuple]:
     for ip, size, op, target, imm in x86.decode(code, base):
-        target = target if target is None or 0 <= target < 1 << 63 else None
-        held.append((path, start, ip, size, op, target, imm))
-        if len(held) == CHUNK:
-            yield _batch(held, _INSTR)
-            held = []
-    if held:
-        yield _batch(held, _INSTR)
+        yield path, start, ip, size, op, target if target is None or 0 <= target < 1 << 63 else None, imm
 
 
 def _flat_decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +193,21 @@ def _flat_decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             except BAD:
                 continue
             if s:
-                yield from _emit(path, None, s.data, s.vaddr)
+                rows = _emit(path, None, s.data, s.vaddr)
+                while part := list(islice(rows, CHUNK)):
+                    yield _batch(part, _INSTR)
 
 
 def _function_decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, start, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
-            yield from _emit(path, start, code.as_py(), start)
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for path, start, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                yield from _emit(path, start, code.as_py(), start)
+
+    # batches are filled across functions, most of which have few rows
+    found = rows()
+    while part := list(islice(found, CHUNK)):
+        yield _batch(part, _INSTR)
 
 
 def flat_instructions(binaries: DataFrame) -> DataFrame:
